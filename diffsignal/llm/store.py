@@ -41,3 +41,9 @@ def counted(df: DataFrame, limit: int = BROADCAST_ROWS) -> DataFrame:
     Counts a table that was materialised, so the count reads file footers only.
     """
     return F.broadcast(df) if df.count() <= limit else df
+
+
+def without(docs: DataFrame, ids: DataFrame) -> DataFrame:
+    """The rows of ``docs`` whose doc_id is not in ``ids`` (one column doc_id); a null id is in no list."""
+    gone = counted(materialise(ids.select(F.col("doc_id").alias("gone_id")).distinct(), "dropped"))
+    return docs.join(gone, docs["doc_id"].cast("long") == gone["gone_id"], "left_anti")
