@@ -10,14 +10,19 @@ sends its cells to its own band and, where a partner may be larger, to the next.
 
 1. profiles: per document its set size, a 128-bit set signature and a bit sketch.
    Documents with equal sets are one class, represented by the smallest id.
-2. cells are shuffled by value.  The first class of a shared cell is paired
-   with all others (a star, so linear in the cell's size).
+2. cells are counted by value, before any shuffle of rows; those of several
+   classes are kept.  The class of a cell that shares most (the sum of its
+   cells' crowds) is paired with all others: a star, so linear in the cell's
+   size, and around the text from which most others were copied.
 3. pairs are pruned by the Hamming bound of the bit sketches, then verified
    exactly on the shingles of both whole texts.
-4. components; then, in cells that still hold several components, the classes
-   outside the largest one are compared with all others.  A class may skip
-   its most crowded cells here, as many as it is sure to share with any
-   partner less one.  So no link between components is lost.
+4. components; then cells that still hold several components.  A class may
+   skip its most crowded cells here, as many as it is sure to share with any
+   partner less one.  In cells of a few members the classes outside the
+   largest component are compared with all others; the classes of larger cells
+   are joined by their rarest shingles under prefix and positional filters.
+   Two sets that link share a cell of the one kind or lie in cells of the
+   other, so no link between components is lost.
 """
 
 from __future__ import annotations
@@ -38,6 +43,8 @@ from .words import U, Words, mix, signed, slices, text_bytes
 FIRST_BAND = 128
 #: Agreeing cells expected of a pair at the threshold, and of how many it is sure (12 standard deviations below).
 EXPECTED, SURE = 32, 6
+#: Members of a cell whose pairs are all compared, which is linear in the number of cells.
+FEW = 16
 
 
 def _cells(band: int) -> int:
@@ -179,10 +186,16 @@ def near_duplicates(docs: DataFrame, percent: int = 75) -> DataFrame:
     filled = profiles.filter("n_shingles > 0 AND doc_id IS NOT NULL")
     heads = filled.groupBy("set_a", "set_b").agg(F.min("doc_id").alias("rep"))
 
-    cells = documents.filter("doc_id IS NOT NULL").mapInArrow(_keys, "key long, cls long")
-    of_key = Window.partitionBy("key")
-    shared = cells.withColumns({"crowd": F.count("*").over(of_key), "pivot": F.min("cls").over(of_key), "last": F.max("cls").over(of_key)})
-    shared = materialise(shared.filter("pivot < last").select("key", "cls", "crowd", "pivot").distinct(), "shared_cells")
+    heads = materialise(heads, "heads")
+    copies = materialise(filled.select("doc_id", "set_a", "set_b").join(heads, ["set_a", "set_b"]).filter("doc_id <> rep").select("doc_id").distinct(), "copies")
+    alone = documents.filter("doc_id IS NOT NULL").join(counted(copies), "doc_id", "left_anti")
+    cells = alone.mapInArrow(_keys, "key long, cls long")
+    crowds = cells.groupBy("key").agg(F.count("*").alias("crowd"), F.min("cls").alias("a"), F.max("cls").alias("b")).filter("a < b").select("key", "crowd")
+    crowds = materialise(crowds, "crowds")
+    shared = materialise(cells.join(counted(crowds), "key").distinct(), "crowded_cells")
+    weights = shared.groupBy("cls").agg(F.sum("crowd").alias("weight"))
+    pivots = shared.join(weights, "cls").groupBy("key").agg(F.max_by("cls", F.struct("weight", "cls")).alias("pivot"))
+    shared = materialise(shared.join(pivots, "key"), "shared_cells")
 
     wanted = materialise(heads.join(shared.select(F.col("cls").alias("set_a")).distinct(), "set_a").select(F.col("set_a").alias("cls"), "rep"), "wanted")
     classes = profiles.select(F.col("doc_id").alias("rep"), F.col("n_shingles").alias("n"), "sketch", F.col("set_a").alias("cls")).join(counted(wanted), ["rep", "cls"])
@@ -190,28 +203,62 @@ def near_duplicates(docs: DataFrame, percent: int = 75) -> DataFrame:
 
     links = _links(shared.filter("cls <> pivot").select(F.col("cls").alias("x"), F.col("pivot").alias("p")).distinct(), classes, documents, percent)
     tree = materialise(components(links, "x", "p"), "components")
-    rest = materialise(_unsettled(shared, classes, tree), "unsettled")
+    cells = _unsettled(shared, classes, tree)
+    rest = materialise(_few(cells).union(_rare(cells, classes, documents)).distinct(), "rest")
     if not rest.isEmpty():
         links = links.union(_links(rest, classes, documents, percent))
         tree = materialise(components(links, "x", "p"), "components")
 
     groups = heads.join(tree.withColumnsRenamed({"node": "rep"}), "rep", "left").select("set_a", "set_b", F.coalesce("component", "rep").alias("component_id"))
     found = filled.select("doc_id", "n_shingles", "set_a", "set_b").join(groups, ["set_a", "set_b"]).select("doc_id", "n_shingles", "component_id")
-    alone = profiles.filter("n_shingles = 0 OR doc_id IS NULL").select("doc_id", "n_shingles", F.col("doc_id").alias("component_id"))
-    return found.union(alone)
+    blank = profiles.filter("n_shingles = 0 OR doc_id IS NULL").select("doc_id", "n_shingles", F.col("doc_id").alias("component_id"))
+    return found.union(blank)
 
 
 def _unsettled(shared: DataFrame, classes: DataFrame, tree: DataFrame) -> DataFrame:
-    """Pairs of classes that share a cell, lie in different components and were not compared yet."""
+    """(key, cls, comp, pivot, n, members, largest): cells of a few components each, without the crowded cells a class may skip."""
     known = classes.select("cls", "rep", "n").join(tree.withColumnsRenamed({"node": "rep"}), "rep", "left").select("cls", "n", F.coalesce("component", "rep").alias("comp"))
     rows = shared.join(known, "cls")
     mixed = rows.groupBy("key").agg(F.min("comp").alias("a"), F.max("comp").alias("b")).filter("a < b").select("key")
     sure = F.when(F.col("n") <= FIRST_BAND, F.greatest(F.lit(1), F.floor(F.col("n") / 2))).otherwise(SURE)
     crowded = F.row_number().over(Window.partitionBy("cls").orderBy(F.desc("crowd"), F.desc("key")))
-    kept = materialise(rows.withColumn("rank", crowded).filter(F.col("rank") >= sure).join(mixed, "key", "left_semi").select("key", "cls", "comp", "pivot"), "mixed_cells")
+    kept = materialise(rows.withColumn("rank", crowded).filter(F.col("rank") >= sure).join(mixed, "key", "left_semi").select("key", "cls", "comp", "pivot", "n"), "mixed_cells")
     per = kept.groupBy("key", "comp").count()
-    largest = per.groupBy("key").agg(F.max_by("comp", F.struct("count", F.col("comp"))).alias("largest"))
-    marked = kept.join(largest, "key")
-    x = marked.select("key", "pivot", "largest", F.col("cls").alias("x"), F.col("comp").alias("cx")).filter("cx <> largest")
-    y = kept.select("key", F.col("cls").alias("p"), F.col("comp").alias("cp"))
+    cells = per.groupBy("key").agg(F.max_by("comp", F.struct("count", F.col("comp"))).alias("largest"), F.sum("count").alias("members"), F.count("*").alias("comps")).filter("comps > 1")
+    return materialise(kept.join(cells.drop("comps"), "key"), "unsettled")
+
+
+def _few(cells: DataFrame) -> DataFrame:
+    """All pairs of different components in cells of FEW members at most."""
+    few = cells.filter(F.col("members") <= FEW)
+    x = few.select("key", "pivot", "largest", F.col("cls").alias("x"), F.col("comp").alias("cx")).filter("cx <> largest")
+    y = few.select("key", F.col("cls").alias("p"), F.col("comp").alias("cp"))
     return x.join(y, "key").filter("cx <> cp AND x <> pivot AND p <> pivot AND (cp = largest OR x > p)").select("x", "p").distinct()
+
+
+def _shingles(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch, data, bounds in slices(batches):
+        sets = [np.unique(s) for s in Words(data, bounds).shingles()]
+        sizes = np.array([len(u) for u in sets])
+        rows = pa.array(np.repeat(np.arange(len(sets)), sizes))
+        yield pa.RecordBatch.from_arrays([batch.column("cls").take(rows), batch.column("comp").take(rows), pa.array(np.repeat(sizes, sizes)), pa.array(signed(np.concatenate(sets)))], names=["cls", "comp", "n", "shingle"])
+
+
+def _rare(cells: DataFrame, classes: DataFrame, documents: DataFrame) -> DataFrame:
+    """Pairs of different components among the classes of crowded cells, by their rarest shingles.
+
+    A link needs 3/4 of either set in common, so its sets share a shingle among
+    the rarest quarter of each (prefix filter), and from the first shared one on
+    enough shingles are left in both (positional filter, in the join itself).
+    """
+    crowd = materialise(cells.filter(F.col("members") > FEW).select("cls", "comp").distinct().join(classes.select("cls", "rep"), "cls"), "crowd")
+    texts = documents.withColumnRenamed("doc_id", "rep").join(counted(crowd), "rep").groupBy("cls", "comp").agg(F.max("text").alias("text"))
+    rows = materialise(texts.mapInArrow(_shingles, "cls long, comp long, n long, shingle long"), "crowd_shingles")
+    often = rows.groupBy("shingle").agg(F.count("*").alias("often"))
+    place = F.row_number().over(Window.partitionBy("cls").orderBy("often", "shingle")) - 1
+    rare = rows.join(often, "shingle").withColumn("at", place).filter(4 * F.col("at") <= F.col("n")).filter("often > 1")
+    rare = materialise(rare.select("shingle", "cls", "comp", "n", (F.col("n") - F.col("at")).alias("left")), "rare_shingles")
+    side = lambda s: rare.select("shingle", F.col("cls").alias(s), F.col("comp").alias(f"c{s}"), F.col("n").alias(f"n{s}"), F.col("left").alias(f"l{s}"))
+    y = side("p").withColumnRenamed("shingle", "same")
+    enough = (F.col("x") > F.col("p")) & (F.col("cx") != F.col("cp")) & (7 * F.least("lx", "lp") >= 3 * (F.col("nx") + F.col("np"))) & (4 * F.least("nx", "np") >= 3 * F.greatest("nx", "np"))
+    return side("x").join(y, (F.col("shingle") == F.col("same")) & enough).select("x", "p").distinct()
