@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 #: Rows of a few numbers that may be broadcast (about 32 MB); beyond it a shuffle takes over.
 BROADCAST_ROWS = 2_000_000
+_local_roots: dict[str, str] = {}
 
 
 def shared_root(spark: SparkSession) -> str:
@@ -18,8 +19,10 @@ def shared_root(spark: SparkSession) -> str:
     if not root:
         if not spark.sparkContext.master.startswith("local"):
             raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
-        root = "file://" + tempfile.mkdtemp(prefix="diffsignal-")
-        spark.conf.set("spark.checkpoint.dir", root)
+        app = spark.sparkContext.applicationId
+        if app not in _local_roots:
+            _local_roots[app] = "file://" + tempfile.mkdtemp(prefix="diffsignal-")
+        root = _local_roots[app]
     return root.rstrip("/")
 
 
