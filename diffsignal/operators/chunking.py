@@ -48,9 +48,9 @@ def build_chunks(files: DataFrame, size: int = 1000, overlap: int = 200) -> Data
 
 def binary_split(files: DataFrame, content: str = "bytes") -> tuple[DataFrame, DataFrame]:
     """Text files with decoded ``content``, and the rejects: those with a NUL in their first 8000 bytes."""
-    binary = F.instr(F.decode(F.substring(F.col(content), 1, 8000), F.lit("ISO-8859-1")), "\0") > 0
+    binary = F.instr(F.decode(F.substring(F.col(content), 1, 8000), "ISO-8859-1"), "\0") > 0
     marked = files.withColumn("is_binary", F.coalesce(binary, F.lit(True)))
-    text = F.replace(F.decode(F.col(content), F.lit("UTF-8")), F.lit("\0"), F.lit(""))
+    text = F.replace(F.make_valid_utf8(F.col(content).cast("string")), F.lit("\0"), F.lit(""))
     return marked.filter(~F.col("is_binary")).withColumn("content", text).drop("is_binary", content), marked.filter("is_binary").drop("is_binary", content)
 
 
