@@ -61,6 +61,7 @@ def leaks(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     pairs = hits.join(texts, "doc_id").join(counted(items), "item_id")
     equal = F.transform("words", lambda w, i: F.when((F.col("shift") + i >= 0) & (F.get("doc_words", F.col("shift") + i) == w), 1).otherwise(0))
     pairs = pairs.select("doc_id", "item_id", "shift", F.size("words").alias("n"), equal.alias("equal"))
+    pairs = materialise(pairs, "aligned")
     width = F.least(F.lit(WINDOW), F.col("n"))
     best = F.array_max(F.transform(F.sequence(F.lit(1), F.col("n") - width + 1), lambda s: F.aggregate(F.slice("equal", s, width), F.lit(0), lambda a, x: a + x)))
     total = F.aggregate("equal", F.lit(0), lambda a, x: a + x)

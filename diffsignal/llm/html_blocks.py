@@ -70,8 +70,8 @@ def _context(tag: str, attributes: str, parent: Element) -> tuple[int, bool]:
         return (1 if now > -2 else now), hidden
     if tag in STRONG:
         now = -2
-    elif tag in WEAK and now != 1 and now > -2:
-        now = -1
+    elif tag in WEAK:
+        now = min(now, -1) if now != 1 else 1 if tag == "header" else -2
     elif named and tag not in ("html", "body", "h1"):
         outside, inside = not OUTSIDE.isdisjoint(named), not INSIDE.isdisjoint(named)
         if outside and not inside:
@@ -109,6 +109,8 @@ def blocks(page: str) -> list[Block]:
         nonlocal in_link
         for i in range(len(stack) - 1, 0, -1):
             if stack[i].tag in tags:
+                if stack[i].context != stack[i - 1].context:
+                    flush()
                 in_link -= sum(e.tag == "a" for e in stack[i:])
                 del stack[i:]
                 return
@@ -146,6 +148,8 @@ def blocks(page: str) -> list[Block]:
             continue
         made += 1
         context, hidden = _context(tag, attributes or "", stack[-1])
+        if context != stack[-1].context:
+            flush()
         stack.append(Element(tag, made, len(stack), stack[-1], context, hidden))
         in_link += tag == "a"
     text(page[at:])
