@@ -274,12 +274,12 @@ def delivery_dedup_ttl(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 # Events as job transitions: each user's three neighbouring events are one job.
-_JOBS = "SELECT event_id // 3 AS job, event_id, epoch_ms(ts) AS moved_at, CASE event_id % 3 WHEN 0 THEN 'queued' WHEN 1 THEN CASE WHEN event_id % 4 > 0 THEN 'running' ELSE 'failed' END ELSE CASE WHEN event_id % 5 > 0 THEN 'completed' ELSE 'running' END END AS state FROM events"
+_JOBS = "SELECT event_id // 3 AS job, event_id, epoch_us(ts) // 1000 AS moved_at, CASE event_id % 3 WHEN 0 THEN 'queued' WHEN 1 THEN CASE WHEN event_id % 4 > 0 THEN 'running' ELSE 'failed' END ELSE CASE WHEN event_id % 5 > 0 THEN 'completed' ELSE 'running' END END AS state FROM events"
 
 
 def _jobs(spark: SparkSession, sf_dir: str) -> DataFrame:
     table(spark, sf_dir, "events").createOrReplaceTempView("__events")
-    return spark.sql(_JOBS.replace("//", "div").replace("epoch_ms(ts)", "unix_millis(CAST(ts AS TIMESTAMP))").replace("FROM events", "FROM __events"))
+    return spark.sql(_JOBS.replace("//", "div").replace("epoch_us(ts)", "unix_micros(CAST(ts AS TIMESTAMP))").replace("FROM events", "FROM __events"))
 
 
 _STATE = f"SELECT job, arg_max(state, event_id) AS state, min(moved_at) FILTER (state = 'queued') AS created_at, min(moved_at) FILTER (state = 'running') AS started_at, max(moved_at) FILTER (state IN ('completed', 'failed')) AS finished_at FROM ({_JOBS}) GROUP BY job"
