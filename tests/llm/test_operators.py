@@ -346,6 +346,38 @@ def test_passages_against_brute_force(spark):
     assert not {17, 18, 19, 20} & {r["doc_id"] for r in rows}
 
 
+def test_variants_meet_an_original_that_comes_last(spark):
+    """Each variant links with the original only, which has the highest id and other links of its own."""
+    own = random.Random(5)
+    bases = [[own.choice(VOCABULARY) for _ in range(56)] for _ in range(6)]
+    texts = [" ".join([*b[:k], f"e{own.random()}", *b[k + 1 :]]) for b in bases for k in range(8, 48, 4)] + [" ".join(b) for b in bases]
+    line = [f"l{i}" for i in range(25)]  # strangers that share a short line make every key around it crowded
+    texts += [" ".join([own.choice(VOCABULARY) for _ in range(20)] + line + [own.choice(VOCABULARY) for _ in range(20)]) for _ in range(25)]
+    texts += [" ".join([*texts[-1].split(" ")[:k], "changed", *texts[-1].split(" ")[k + 1 :]]) for k in (10,)]
+    rows = near_passages(table(spark, texts)).collect()
+    sets, found = [shingles(t) for t in texts], {r["doc_id"] for r in rows}
+    linked = lambda i, j: len(sets[i] & sets[j]) >= 0.75 * len(sets[i] | sets[j])
+    want = {i for i in range(len(texts)) if any(i != j and linked(i, j) for j in range(len(texts)))}
+    assert want == found and len(want) == 68
+
+
+def test_close_windows_against_all_pairs():
+    gen = np.random.default_rng(3)
+    for _ in range(30):
+        t, base = 46, gen.integers(0, 1 << 32, 70, dtype=np.uint32)
+        spans = []
+        for _ in range(40):
+            v = base[: int(gen.integers(46, 71))].copy()
+            v[gen.random(len(v)) < gen.choice([0.02, 0.1, 0.2, 0.5])] = gen.integers(0, 1 << 32, dtype=np.uint32)
+            v = np.where(gen.random(len(v)) < gen.choice([0.05, 0.3]), gen.integers(0, 1 << 32, len(v), dtype=np.uint32), v)
+            spans.append(v)
+        sets = [np.unique(v) for v in spans]
+        again = [len(v) - len(u) for v, u in zip(spans, sets)]
+        need = [max(1, -(-6 * (t - r) // 7)) for r in again]
+        got = {(i, int(o)) for i, others in passages.close_windows(sets, again, np.ones(len(sets), bool), t) for o in others}
+        assert got == {(i, j) for i in range(40) for j in range(40) if i != j and len(np.intersect1d(sets[i], sets[j])) >= min(need[i], need[j])}
+
+
 # ---- 10 pages ----
 
 
