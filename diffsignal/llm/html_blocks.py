@@ -14,8 +14,9 @@ TAG = re.compile(r"<!--.*?(?:-->|\Z)|<[!?][^>]*(?:>|\Z)|<(/?)([A-Za-z][^\s/>]*)(
 ATTRIBUTE = re.compile(r"([^\s=/\"'>]+)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+)))?")
 NAME_PART = re.compile(r"[A-Z]?[a-z]+|[A-Z]+|\d+")
 
-# Elements whose content is no text, elements without an end, elements that begin a block.
-RAW = frozenset("script style noscript template textarea title iframe noembed noframes xmp svg math object canvas audio video select datalist".split())
+# Elements whose content is read as characters up to their end tag, elements whose content is no text, elements without an end, elements that begin a block.
+RAW = frozenset("script style noscript textarea title iframe noembed noframes xmp".split())
+UNSEEN = frozenset("template svg math object canvas audio video select datalist".split())
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 BLOCK = frozenset(
     "address article aside blockquote body br button caption center dd details dialog dir div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 head header hgroup hr html legend li main menu nav ol optgroup option p pre search section summary table tbody td tfoot th thead tr ul".split()
@@ -127,7 +128,10 @@ def blocks(page: str) -> list[Block]:
         if m[1] or m[4]:
             if tag in BLOCK:
                 flush()
-            close({tag}, frozenset() if tag in BLOCK else BLOCK)
+            close({tag}, frozenset() if tag in BLOCK or tag in UNSEEN else BLOCK)
+            continue
+        attributes = m[3] if m[2] else m[6]
+        if tag in RAW and attributes and attributes.rstrip().endswith("/") and any(e.tag in ("svg", "math") for e in stack):
             continue
         if tag in RAW:
             end = re.compile(f"</{re.escape(tag)}(?=[\\s/>]|\\Z)[^>]*>?", re.I).search(page, at)
@@ -138,16 +142,16 @@ def blocks(page: str) -> list[Block]:
         if tag in BLOCK:
             flush()
             if tag not in ("br", "button"):
-                close({"p"}, HOLDS)
+                close({"p"}, HOLDS | UNSEEN)
             if tag in CLOSES:
-                close(CLOSES[tag], HOLDS)
+                close(CLOSES[tag], HOLDS | UNSEEN)
         if tag in VOID:
             continue
-        attributes = m[3] if m[2] else m[6]
         if attributes and attributes.rstrip().endswith("/") and tag not in BLOCK:
             continue
         made += 1
         context, hidden = _context(tag, attributes or "", stack[-1])
+        hidden |= tag in UNSEEN
         if context != stack[-1].context:
             flush()
         stack.append(Element(tag, made, len(stack), stack[-1], context, hidden))

@@ -396,6 +396,9 @@ def test_minimum_cut_against_enumeration():
     ("<article><p>a<b>b</b>c &lt;p&gt; d</p><script>var x = '</p>';</script><!-- no --><form><label>Name</label><input></form></article>", "abc <p> d"),
     ('<article><p>kept</p><div class="ad">buy now, a long advert text with many words.</div><p>also kept</p></article>', "kept also kept"),
     ("<article><p>cut off &am", "cut off &am"), ("<p unclosed", ""), ("<<<<", ""), ("", ""), (None, ""),
+    ("<article><p>one <svg class=icon/> two</p><p>three <svg><title>t</title><path d=x /></svg>four</p></article>", "one two three four"),
+    ("<article><p>one <select><option>a<option>b</select> two <svg><style/></svg>three</p><p>x<object><p>fallback</object>y</p></article>", "one two three x y"),
+    ("<article><div><select><option>a<option>b</div><p>after</p><div><object data=x>fallback</div><p>end</p></article>", "after end"),
     ('<article><p hidden>secret text that nobody sees at all.</p><p>seen</p></article>', "seen"),
 ])
 def test_main_text(page, text):
