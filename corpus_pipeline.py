@@ -27,7 +27,7 @@ def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents without the lines whose template recurs in ten or more of them; n_chars follows the text."""
-    cleaned = drop_recurring_lines(docs, min_docs=10)
+    cleaned = drop_recurring_lines(docs, min_docs=10, min_tokens=1)
     if "n_chars" in docs.columns:
         cleaned = cleaned.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType))
     return cleaned.select(*[F.col(f"`{c}`") for c in docs.columns])

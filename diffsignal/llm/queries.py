@@ -24,7 +24,7 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def op1_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return drop_recurring_lines(table(spark, sf_dir, "documents"), min_docs=10)
+    return drop_recurring_lines(table(spark, sf_dir, "documents"), min_docs=10, min_tokens=1)
 
 
 def op2_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:

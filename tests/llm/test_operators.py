@@ -124,6 +124,17 @@ def test_templates_do_not_depend_on_order(spark):
     assert kept(texts) == kept(texts[::-1]) == sorted(t.split("\n")[0] for t in texts)
 
 
+def test_the_query_and_the_pipeline_drop_short_lines(spark, tmp_path):
+    import corpus_pipeline
+
+    own = random.Random(7)
+    bodies = [" ".join(own.choice(VOCABULARY) for _ in range(15)) for _ in range(12)]
+    docs = table(spark, [f"{b}\nRead more\n\nShare" for b in bodies])
+    docs.write.parquet(str(tmp_path / "documents.parquet"))
+    for got in (queries.op1_line_dedup(spark, str(tmp_path)), corpus_pipeline.line_dedup(spark, docs, str(tmp_path))):
+        assert sorted(r["text"] for r in got.collect()) == sorted(f"{b}\n" for b in bodies)
+
+
 # ---- 2 quality ----
 
 
