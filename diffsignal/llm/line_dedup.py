@@ -1,7 +1,7 @@
 """Line deduplication by a log-template tree of fixed depth (operator 1).
 
 A line's leaf is its token count and its first ``LEADING`` tokens, tokens with
-digits taken as fields where they are three in ten at most.  Inside a leaf that several lines share, a token at a
+digits taken as fields where another token is a word.  Inside a leaf that several lines share, a token at a
 position is constant if a tenth of the leaf's lines have it there, else it is
 a field: so lines that differ in their fields get one template, whatever order
 they come in.  Nothing is parsed in sequence and no leaf is gathered: counts
@@ -31,9 +31,9 @@ def _lines(docs: DataFrame) -> DataFrame:
     split = lambda line: F.array_remove(F.split(line, SEPARATORS, -1), "")
     fields = split(F.regexp_replace("line", "[^\\x20\\x09-\\x0D]*[0-9][^\\x20\\x09-\\x0D]*", "<*>"))
     rows = rows.withColumn("fields", F.when(F.col("line").rlike("[0-9]"), fields))
-    # a line that is mostly numbers, like a table's row, is told by its numbers
-    few = F.size(F.filter("fields", lambda t: t == "<*>")) <= (1 - SIMILAR) * F.size("fields")
-    return rows.select("key", "line_no", F.when(few, F.col("fields")).otherwise(split(F.col("line"))).alias("tokens"), F.length("line").alias("chars"))
+    # a line without a constant word, like a table's row, is told by its numbers
+    worded = F.exists("fields", lambda t: (t != "<*>") & t.rlike("\\p{L}"))
+    return rows.select("key", "line_no", F.when(worded, F.col("fields")).otherwise(split(F.col("line"))).alias("tokens"), F.length("line").alias("chars"))
 
 
 def _key(docs: DataFrame) -> Column:

@@ -135,6 +135,14 @@ def test_the_query_and_the_pipeline_drop_short_lines(spark, tmp_path):
         assert sorted(r["text"] for r in got.collect()) == sorted(f"{b}\n" for b in bodies)
 
 
+def test_numbers_are_fields_beside_a_word(spark):
+    own = random.Random(8)
+    bodies = [" ".join(own.choice(VOCABULARY) for _ in range(25)) + f"\n{i} | {i + 5} | {i * 3}" for i in range(20)]
+    lines = lambda i: f"Page {i} of {i + 7}\n{i} comments posted\nPosted on {i + 1} March {2000 + i}\n2021-03-{i + 10} 12:{i + 10} INFO started"
+    got = drop_recurring_lines(table(spark, [f"{b}\n{lines(i)}" for i, b in enumerate(bodies)]), min_docs=10, copied=0.9).collect()
+    assert sorted(r["text"] for r in got) == sorted(bodies)
+
+
 # ---- 2 quality ----
 
 
