@@ -5,11 +5,13 @@ from __future__ import annotations
 import tempfile
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-#: Rows of a few numbers that may be broadcast (about 32 MB); beyond it a shuffle takes over.
-BROADCAST_ROWS = 2_000_000
+#: What may be broadcast: rows of a few numbers, and bytes as written; beyond either a shuffle takes over.
+BROADCAST_ROWS, BROADCAST_BYTES = 2_000_000, 64 << 20
+#: A key with more rows than this, and more than one in SHARES of all, is dealt over several tasks.
+HOT_ROWS, SHARES = 2_000, 10_000
 _local_roots: dict[str, str] = {}
 
 
@@ -38,12 +40,36 @@ def materialise(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
-def counted(df: DataFrame, limit: int = BROADCAST_ROWS) -> DataFrame:
-    """``df`` marked for broadcast if it has at most ``limit`` rows, else as it is.
+def small(df: DataFrame, size: Column | None = None) -> bool:
+    """Whether a materialised table is within both bounds of a broadcast; ``size``: bytes of a row that are not plain numbers."""
+    if size is None:
+        return df.count() <= BROADCAST_ROWS
+    row = df.agg(F.count("*").alias("n"), F.sum(size.cast("long")).alias("b")).first()
+    return row["n"] <= BROADCAST_ROWS and (row["b"] or 0) <= BROADCAST_BYTES
 
-    Counts a table that was materialised, so the count reads file footers only.
+
+def counted(df: DataFrame, size: Column | None = None) -> DataFrame:
+    """A materialised ``df`` marked for broadcast if it is ``small``, else as it is."""
+    return F.broadcast(df) if small(df, size) else df
+
+
+def spread_join(many: DataFrame, one: DataFrame, keys: list[str], by: list[str], how: str = "inner", size: Column | None = None) -> DataFrame:
+    """``many.join(one, keys)`` for materialised tables, where a few keys may hold most rows of ``many``.
+
+    A small ``one`` is broadcast (``size``: see ``small``).  Else a key with more than HOT_ROWS rows and one in SHARES of all is dealt over
+    blocks by a hash of ``by``, and the rows of ``one`` with that key, which
+    are few, are copied to each block.  There are at most SHARES such keys.
     """
-    return F.broadcast(df) if df.count() <= limit else df
+    if small(one, size):
+        return many.join(F.broadcast(one), keys, how)
+    limit = max(HOT_ROWS, many.count() // SHARES)
+    hot = many.groupBy(*keys).count().filter(F.col("count") > limit)
+    hot = materialise(hot.select(*keys, F.ceil(F.col("count") / limit).cast("int").alias("__blocks")), "hot_keys")
+    if hot.isEmpty():
+        return many.join(one, keys, how)
+    dealt = many.join(F.broadcast(hot), keys, "left").withColumn("__block", F.coalesce(F.pmod(F.xxhash64(*by), F.col("__blocks")), F.lit(0)).cast("int")).drop("__blocks")
+    copied = one.join(F.broadcast(hot), keys, "left").withColumn("__block", F.explode(F.sequence(F.lit(0), F.coalesce(F.col("__blocks"), F.lit(1)) - 1))).drop("__blocks")
+    return dealt.join(copied, [*keys, "__block"], how).drop("__block")
 
 
 def without(docs: DataFrame, ids: DataFrame) -> DataFrame:

@@ -76,9 +76,10 @@ class Words:
 
     def runs(self, k: int) -> np.ndarray:
         """At each word the hash of the ``k`` words from there; only ``k - 1`` short of a document's end does it hold."""
-        out = np.zeros(len(self.hash), U)
-        for j in range(k):
-            out[: len(out) - j] += self.hash[j:] * _WORD[j]
+        n = len(self.hash)
+        out = np.zeros(n, U)
+        for j in range(min(k, n)):
+            out[: n - j] += self.hash[j:] * _WORD[j]
         return mix(out)
 
     def shingles(self, k: int = 5) -> list[np.ndarray]:

@@ -380,21 +380,77 @@ def test_variants_meet_an_original_that_comes_last(spark):
     assert want == found and len(want) == 68
 
 
-def test_close_windows_against_all_pairs():
+def test_rare_places_meet_wherever_passages_link():
     gen = np.random.default_rng(3)
-    for _ in range(30):
-        t, base = 46, gen.integers(0, 1 << 32, 70, dtype=np.uint32)
-        spans = []
-        for _ in range(40):
-            v = base[: int(gen.integers(46, 71))].copy()
-            v[gen.random(len(v)) < gen.choice([0.02, 0.1, 0.2, 0.5])] = gen.integers(0, 1 << 32, dtype=np.uint32)
-            v = np.where(gen.random(len(v)) < gen.choice([0.05, 0.3]), gen.integers(0, 1 << 32, len(v), dtype=np.uint32), v)
-            spans.append(v)
-        sets = [np.unique(v) for v in spans]
-        again = [len(v) - len(u) for v, u in zip(spans, sets)]
-        need = [max(1, -(-6 * (t - r) // 7)) for r in again]
-        got = {(i, int(o)) for i, others in passages.close_windows(sets, again, np.ones(len(sets), bool), t) for o in others}
-        assert got == {(i, j) for i in range(40) for j in range(40) if i != j and len(np.intersect1d(sets[i], sets[j])) >= min(need[i], need[j])}
+    met = 0
+    for _ in range(300):
+        t, base = 12, gen.integers(0, 60, 40)
+        pair = []
+        for _ in range(2):
+            v = base[int(gen.integers(0, 8)) :][: int(gen.integers(12, 33))].copy()
+            v[gen.random(len(v)) < 0.08] = gen.integers(100, 10**6)
+            pair.append(np.concatenate([gen.integers(10**6, 10**9, 5), v, gen.integers(10**6, 10**9, 5)]))
+        often = {int(c): int(gen.integers(1, 9)) for c in set(pair[0].tolist()) & set(pair[1].tolist())}
+        found = []
+        for v in pair:
+            n = np.array([often.get(int(c), 0) for c in v])
+            rare, asked = passages.rare_places(v, n, np.ones(len(v), bool), t, 75)
+            assert (rare == asked).all() and not (rare & (n == 0)).any()
+            found.append(set(v[rare].tolist()))
+        sets = [[set(v[i : i + t].tolist()) for i in range(len(v) - t + 1)] for v in pair]
+        if any(len(a & b) >= 0.75 * len(a | b) for a in sets[0] for b in sets[1]):
+            met += 1
+            assert found[0] & found[1]
+    assert met > 50
+
+
+def test_alignment_goes_over_gaps():
+    gen = np.random.default_rng(4)
+    own = gen.integers(0, 1 << 31, 86)
+    other = own.copy()
+    other[40:51] = gen.integers(1 << 31, 1 << 32, 11)  # seven words in a row replaced: Jaccard 75 / 97
+    [(a, b, q, s, j)] = passages.aligned(own, other, 46, 75)
+    assert (a, b, q, s) == (0, 86, 0, 86) and j == 75 / 97
+    both = np.concatenate([own, gen.integers(1 << 32, 1 << 33, 60), other])
+    assert sorted(x[:2] for x in passages.aligned(both, own, 46, 75)) == [(0, 86), (146, 232)]
+
+
+def test_recall_of_passages_just_above_the_threshold(spark):
+    own = random.Random(21)
+    word = lambda: f"r{own.randrange(10**6)}"
+    texts, pairs = [], []
+    while len(pairs) < 300:
+        base = [word() for _ in range(own.choice((50, 60, 75, 90, 120)))]
+        other = list(base)
+        for _ in range(own.randint(1, 4)):
+            k = own.randrange(len(other))
+            other[k : k + own.randint(1, 4)] = [word() for _ in range(own.randint(0, 3))]
+        a, b = shingles(" ".join(base)), shingles(" ".join(other))
+        if len(other) >= 50 and 0.75 <= len(a & b) / len(a | b) <= 0.8:
+            pairs.append((len(texts), len(texts) + 1))
+            texts += [" ".join([word() for _ in range(own.randint(0, 40))] + v + [word() for _ in range(own.randint(0, 40))]) for v in (base, other)]
+    got = {(r["doc_id"], r["partner_id"]) for r in near_passages(table(spark, texts)).collect()}
+    found = sum(p in got for p in pairs)
+    print("recall of passages between 0.75 and 0.8:", found / len(pairs))
+    assert found >= 0.9 * len(pairs) and got <= {(a, b) for p in pairs for a, b in (p, p[::-1])}
+
+
+def test_ids_with_several_texts_keep_their_links(spark):
+    base, more = sentence(70), sentence(90)
+    rows = [(1, base), (2, edited(base, 1)), (2, more), (3, f"{more} {sentence(30)}")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    assert {(r["doc_id"], r["partner_id"]) for r in near_passages(docs).collect()} == {(1, 2), (2, 1), (2, 3), (3, 2)}
+    assert sorted((r["doc_id"], r["component_id"]) for r in near_duplicates(docs).collect())[:3] == [(1, 1), (2, 1), (2, 2)]
+
+
+@pytest.mark.parametrize("n", [1, 2, 3, 4])
+def test_few_words_alone_in_a_partition(spark, n):
+    from pyspark.sql import functions as F
+
+    text = " ".join("x" * 60 for _ in range(n))
+    docs = spark.range(1).select(F.col("id").alias("doc_id"), F.lit(text).alias("text")).coalesce(1)
+    assert [(r["n_shingles"], r["component_id"]) for r in near_duplicates(docs).collect()] == [(1, 0)]
+    assert near_passages(docs).count() == 0
 
 
 # ---- 10 pages ----
