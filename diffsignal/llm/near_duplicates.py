@@ -36,7 +36,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .components import components
-from .store import counted, materialise
+from .store import counted, materialise, small, spread_join
 from .words import U, Words, mix, signed, slices, text_bytes
 
 #: Sizes from which bands begin; each band is twice as wide as the one before.
@@ -98,8 +98,8 @@ def _profiles(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             second.append(b)
             sketches.append(np.packbits(bit_sketch(u), bitorder="little").tobytes() if len(u) else b"")
         yield pa.RecordBatch.from_arrays(
-            [batch.column("doc_id"), pa.array(sizes, pa.int64()), pa.array(signed(np.concatenate(first))), pa.array(signed(np.concatenate(second))), pa.array(sketches, pa.binary())],
-            names=["doc_id", "n_shingles", "set_a", "set_b", "sketch"],
+            [batch.column("doc_id"), batch.column("text_hash"), pa.array(sizes, pa.int64()), pa.array(signed(np.concatenate(first))), pa.array(signed(np.concatenate(second))), pa.array(sketches, pa.binary())],
+            names=["doc_id", "text_hash", "n_shingles", "set_a", "set_b", "sketch"],
         )
 
 
@@ -108,7 +108,7 @@ def _keys(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     seen: set[int] = set()
     cells: dict[int, int] = {}
     for _, data, bounds in slices(batches):
-        keys, owners = [], []
+        keys, owners, bands = [], [], []
         for s in Words(data, bounds).shingles():
             if not len(s):
                 continue
@@ -126,8 +126,9 @@ def _keys(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 filled = cell[order[at]].astype(U)
                 keys.append(mix(np.bitwise_xor.reduceat(u[order], at)) ^ mix(filled + U((k + 1) << 32)))
                 owners.append(np.repeat(own, len(at)))
+                bands.append(np.full(len(at), k, np.int8))
         if keys:
-            yield pa.RecordBatch.from_arrays([pa.array(signed(np.concatenate(keys))), pa.array(signed(np.concatenate(owners)))], names=["key", "cls"])
+            yield pa.RecordBatch.from_arrays([pa.array(signed(np.concatenate(keys))), pa.array(signed(np.concatenate(owners))), pa.array(np.concatenate(bands))], names=["key", "cls", "band"])
 
 
 def _within_bound(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -158,81 +159,100 @@ def _verified(percent: int):
     return run
 
 
+def _texts(documents: DataFrame, wanted: DataFrame) -> DataFrame:
+    """(text_hash, text) of the wanted hashes, one row each."""
+    return documents.join(counted(wanted), "text_hash", "left_semi").groupBy("text_hash").agg(F.max("text").alias("text"))
+
+
 def _links(pairs: DataFrame, classes: DataFrame, documents: DataFrame, percent: int) -> DataFrame:
-    """Of pairs of set signatures (x, p) those that link, as pairs of representatives."""
-    side = lambda s: classes.select(F.col("cls").alias(f"cls_{s}"), F.col("rep").alias(s), F.col("n").alias(f"n_{s}"), F.col("sketch").alias(f"sketch_{s}"))
-    near = pairs.withColumnsRenamed({"x": "cls_x", "p": "cls_p"}).join(side("x"), "cls_x").join(side("p"), "cls_p")
-    near = near.filter("x <> p AND 4 * least(n_x, n_p) >= 3 * greatest(n_x, n_p)").select("x", "p", "n_x", "n_p", "sketch_x", "sketch_p")
-    near = materialise(near.mapInArrow(_within_bound, "x long, p long").distinct(), "near_pairs")
-    ends = materialise(near.select(F.explode(F.array("x", "p")).alias("doc_id")).distinct(), "near_ids")
-    texts = documents.join(counted(ends), "doc_id", "left_semi").groupBy("doc_id").agg(F.max("text").alias("text"))
-    both = near.join(texts.select(F.col("doc_id").alias("x"), F.col("text").alias("text_x")), "x").join(texts.select(F.col("doc_id").alias("p"), F.col("text").alias("text_p")), "p")
-    return materialise(both.mapInArrow(_verified(percent), "x long, p long"), "links")
+    """Of pairs of classes (x, p) those that link."""
+    side = lambda s: classes.select(F.col("node").alias(s), F.col("n").alias(f"n_{s}"), F.col("sketch").alias(f"sketch_{s}"))
+    pairs = materialise(pairs.filter("x <> p").distinct(), "pairs")
+    near = spread_join(pairs, side("p"), ["p"], ["x"], size=F.octet_length("sketch_p")).join(side("x"), "x")
+    near = near.filter("4 * least(n_x, n_p) >= 3 * greatest(n_x, n_p)").select("x", "p", "n_x", "n_p", "sketch_x", "sketch_p")
+    near = materialise(near.mapInArrow(_within_bound, "x long, p long"), "near_pairs")
+    ends = near.select(F.explode(F.array("x", "p")).alias("node")).distinct()
+    ends = materialise(ends.join(classes.select("node", "text_hash"), "node"), "near_texts")
+    texts = _texts(documents, ends.select("text_hash").distinct())
+    texts = materialise(texts.join(ends, "text_hash").select("node", "text"), "texts")
+    both = spread_join(near, texts.withColumnsRenamed({"node": "p", "text": "text_p"}), ["p"], ["x"], size=F.octet_length("text_p")).join(texts.withColumnsRenamed({"node": "x", "text": "text_x"}), "x")
+    return materialise(both.select("x", "p", "text_x", "text_p").mapInArrow(_verified(percent), "x long, p long"), "links")
 
 
 def near_duplicates(docs: DataFrame, percent: int = 75) -> DataFrame:
     """Per document (doc_id, n_shingles, component_id).
 
     docs: any table with doc_id and text; other columns are ignored.  A null
-    or blank text has no shingles and links with nothing.  Rows that repeat a
-    document come back as often; a null doc_id stays null in both columns and
-    lends no link.  ``percent``: 100 * intersection >= percent * union links;
-    75 or more, as bounds and bands are proved for it.
+    or blank text has no shingles and links with nothing.  Every row is a
+    document of its own: rows that repeat one come back as often, and an id
+    with several texts has a row, and its own links, for each; component_id is
+    the smallest id that a row's links reach.  A null doc_id stays null in both
+    columns and lends no link.  ``percent``: 100 * intersection >= percent *
+    union links; 75 or more, as bounds and bands are proved for it.
     """
     if percent < 75:
         raise ValueError("the sketch bounds hold from 75 percent on")
-    documents = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    profiles = materialise(documents.mapInArrow(_profiles, "doc_id long, n_shingles long, set_a long, set_b long, sketch binary"), "profiles")
+    documents = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).withColumn("text_hash", F.xxhash64("text"))
+    profiles = materialise(documents.mapInArrow(_profiles, "doc_id long, text_hash long, n_shingles long, set_a long, set_b long, sketch binary"), "profiles")
     filled = profiles.filter("n_shingles > 0 AND doc_id IS NOT NULL")
-    heads = filled.groupBy("set_a", "set_b").agg(F.min("doc_id").alias("rep"))
-
-    heads = materialise(heads, "heads")
-    copies = materialise(filled.select("doc_id", "set_a", "set_b").join(heads, ["set_a", "set_b"]).filter("doc_id <> rep").select("doc_id").distinct(), "copies")
-    alone = documents.filter("doc_id IS NOT NULL").join(counted(copies), "doc_id", "left_anti")
-    cells = alone.mapInArrow(_keys, "key long, cls long")
+    heads = filled.groupBy("set_a", "set_b").agg(F.min("doc_id").alias("low"), F.min("text_hash").alias("text_hash"))
+    heads = materialise(heads.withColumn("node", F.monotonically_increasing_id()), "heads")
+    copied = spread_join(filled.select("doc_id", "text_hash", "set_a", "set_b"), heads.select("set_a", "set_b", "low"), ["set_a", "set_b"], ["doc_id"])
+    copies = materialise(copied.filter("doc_id <> low").select("doc_id", "text_hash").distinct(), "copies")
+
+    # sets that other texts have, too, send their cells once; where the list is long, once a partition
+    alone = documents.filter("doc_id IS NOT NULL")
+    alone = alone.join(F.broadcast(copies), ["doc_id", "text_hash"], "left_anti") if small(copies) else alone
+    cells = alone.mapInArrow(_keys, "key long, cls long, band byte")
     crowds = cells.groupBy("key").agg(F.count("*").alias("crowd"), F.min("cls").alias("a"), F.max("cls").alias("b")).filter("a < b").select("key", "crowd")
     crowds = materialise(crowds, "crowds")
+    # a class is told by half its signature here, by a node of its own from here on
+    nodes = heads.select(F.col("set_a").alias("cls"), "node")
     shared = materialise(cells.join(counted(crowds), "key").distinct(), "crowded_cells")
-    weights = shared.groupBy("cls").agg(F.sum("crowd").alias("weight"))
-    pivots = shared.join(weights, "cls").groupBy("key").agg(F.max_by("cls", F.struct("weight", "cls")).alias("pivot"))
-    shared = materialise(shared.join(pivots, "key"), "shared_cells")
+    shared = materialise(spread_join(shared, nodes, ["cls"], ["key"]).drop("cls"), "shared_nodes")
+    weights = materialise(shared.groupBy("node").agg(F.sum("crowd").alias("weight")), "weights")
+    pivots = materialise(shared.join(counted(weights), "node").groupBy("key").agg(F.max(F.struct("weight", "node")).alias("best")).select("key", F.col("best.node").alias("pivot")), "pivots")
+    shared = materialise(spread_join(shared, pivots, ["key"], ["node"]), "shared_cells")
 
-    wanted = materialise(heads.join(shared.select(F.col("cls").alias("set_a")).distinct(), "set_a").select(F.col("set_a").alias("cls"), "rep"), "wanted")
-    classes = profiles.select(F.col("doc_id").alias("rep"), F.col("n_shingles").alias("n"), "sketch", F.col("set_a").alias("cls")).join(counted(wanted), ["rep", "cls"])
-    classes = materialise(classes.dropDuplicates(["rep"]), "classes")
+    wanted = materialise(heads.join(counted(weights.select("node")), "node", "left_semi").select("node", "set_a", "set_b", "text_hash"), "wanted")
+    classes = profiles.select(F.col("n_shingles").alias("n"), "sketch", "set_a", "set_b", "text_hash").join(counted(wanted), ["set_a", "set_b", "text_hash"])
+    classes = materialise(classes.groupBy("node").agg(F.max("text_hash").alias("text_hash"), F.max("n").alias("n"), F.max("sketch").alias("sketch")), "classes")
 
-    links = _links(shared.filter("cls <> pivot").select(F.col("cls").alias("x"), F.col("pivot").alias("p")).distinct(), classes, documents, percent)
+    links = _links(shared.select(F.col("node").alias("x"), F.col("pivot").alias("p")), classes, documents, percent)
     tree = materialise(components(links, "x", "p"), "components")
     cells = _unsettled(shared, classes, tree)
-    rest = materialise(_few(cells).union(_rare(cells, classes, documents)).distinct(), "rest")
-    if not rest.isEmpty():
-        links = links.union(_links(rest, classes, documents, percent))
-        tree = materialise(components(links, "x", "p"), "components")
-
-    groups = heads.join(tree.withColumnsRenamed({"node": "rep"}), "rep", "left").select("set_a", "set_b", F.coalesce("component", "rep").alias("component_id"))
-    found = filled.select("doc_id", "n_shingles", "set_a", "set_b").join(groups, ["set_a", "set_b"]).select("doc_id", "n_shingles", "component_id")
+    rest = _few(cells).union(_rare(cells, classes, documents))
+    more = _links(rest, classes, documents, percent)
+    if not more.isEmpty():
+        tree = materialise(components(links.union(more), "x", "p"), "components")
+
+    named = heads.join(tree, "node", "left").select("set_a", "set_b", "low", F.coalesce("component", "node").alias("component"))
+    lows = named.groupBy("component").agg(F.min("low").alias("component_id"))
+    groups = materialise(named.join(lows, "component").select("set_a", "set_b", "component_id"), "groups")
+    found = spread_join(filled.select("doc_id", "n_shingles", "set_a", "set_b"), groups, ["set_a", "set_b"], ["doc_id"]).select("doc_id", "n_shingles", "component_id")
     blank = profiles.filter("n_shingles = 0 OR doc_id IS NULL").select("doc_id", "n_shingles", F.col("doc_id").alias("component_id"))
     return found.union(blank)
 
 
 def _unsettled(shared: DataFrame, classes: DataFrame, tree: DataFrame) -> DataFrame:
-    """(key, cls, comp, pivot, n, members, largest): cells of a few components each, without the crowded cells a class may skip."""
-    known = classes.select("cls", "rep", "n").join(tree.withColumnsRenamed({"node": "rep"}), "rep", "left").select("cls", "n", F.coalesce("component", "rep").alias("comp"))
-    rows = shared.join(known, "cls")
+    """(key, node, comp, pivot, members, largest): cells of a few components each, without the crowded cells of a band that a class may skip."""
+    known = classes.select("node", "n").join(tree, "node", "left").select("node", "n", F.coalesce("component", "node").alias("comp"))
+    rows = shared.join(known, "node")
     mixed = rows.groupBy("key").agg(F.min("comp").alias("a"), F.max("comp").alias("b")).filter("a < b").select("key")
-    sure = F.when(F.col("n") <= FIRST_BAND, F.greatest(F.lit(1), F.floor(F.col("n") / 2))).otherwise(SURE)
-    crowded = F.row_number().over(Window.partitionBy("cls").orderBy(F.desc("crowd"), F.desc("key")))
-    kept = materialise(rows.withColumn("rank", crowded).filter(F.col("rank") >= sure).join(mixed, "key", "left_semi").select("key", "cls", "comp", "pivot", "n"), "mixed_cells")
+    sure = F.when(F.col("band") == 0, F.greatest(F.lit(1), F.floor(F.col("n") / 2))).otherwise(SURE)
+    crowded = F.row_number().over(Window.partitionBy("node", "band").orderBy(F.desc("crowd"), F.desc("key")))
+    kept = materialise(rows.withColumn("rank", crowded).filter(F.col("rank") >= sure).join(mixed, "key", "left_semi").select("key", "node", "comp", "pivot"), "mixed_cells")
     per = kept.groupBy("key", "comp").count()
-    cells = per.groupBy("key").agg(F.max_by("comp", F.struct("count", F.col("comp"))).alias("largest"), F.sum("count").alias("members"), F.count("*").alias("comps")).filter("comps > 1")
-    return materialise(kept.join(cells.drop("comps"), "key"), "unsettled")
+    cells = per.groupBy("key").agg(F.max(F.struct("count", "comp")).alias("best"), F.sum("count").alias("members"), F.count("*").alias("comps")).filter("comps > 1")
+    cells = materialise(cells.select("key", F.col("best.comp").alias("largest"), "members"), "mixed_keys")
+    return materialise(spread_join(kept, cells, ["key"], ["node"]), "unsettled")
 
 
 def _few(cells: DataFrame) -> DataFrame:
     """All pairs of different components in cells of FEW members at most."""
     few = cells.filter(F.col("members") <= FEW)
-    x = few.select("key", "pivot", "largest", F.col("cls").alias("x"), F.col("comp").alias("cx")).filter("cx <> largest")
-    y = few.select("key", F.col("cls").alias("p"), F.col("comp").alias("cp"))
+    x = few.select("key", "pivot", "largest", F.col("node").alias("x"), F.col("comp").alias("cx")).filter("cx <> largest")
+    y = few.select("key", F.col("node").alias("p"), F.col("comp").alias("cp"))
     return x.join(y, "key").filter("cx <> cp AND x <> pivot AND p <> pivot AND (cp = largest OR x > p)").select("x", "p").distinct()
 
 
@@ -241,7 +261,7 @@ def _shingles(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         sets = [np.unique(s) for s in Words(data, bounds).shingles()]
         sizes = np.array([len(u) for u in sets])
         rows = pa.array(np.repeat(np.arange(len(sets)), sizes))
-        yield pa.RecordBatch.from_arrays([batch.column("cls").take(rows), batch.column("comp").take(rows), pa.array(np.repeat(sizes, sizes)), pa.array(signed(np.concatenate(sets)))], names=["cls", "comp", "n", "shingle"])
+        yield pa.RecordBatch.from_arrays([batch.column("node").take(rows), batch.column("comp").take(rows), pa.array(np.repeat(sizes, sizes)), pa.array(signed(np.concatenate(sets)))], names=["node", "comp", "n", "shingle"])
 
 
 def _rare(cells: DataFrame, classes: DataFrame, documents: DataFrame) -> DataFrame:
@@ -250,15 +270,20 @@ def _rare(cells: DataFrame, classes: DataFrame, documents: DataFrame) -> DataFra
     A link needs 3/4 of either set in common, so its sets share a shingle among
     the rarest quarter of each (prefix filter), and from the first shared one on
     enough shingles are left in both (positional filter, in the join itself).
+    Of a shingle's classes those of its largest component are not compared with
+    each other, and its rows are dealt over blocks.
     """
-    crowd = materialise(cells.filter(F.col("members") > FEW).select("cls", "comp").distinct().join(classes.select("cls", "rep"), "cls"), "crowd")
-    texts = documents.withColumnRenamed("doc_id", "rep").join(counted(crowd), "rep").groupBy("cls", "comp").agg(F.max("text").alias("text"))
-    rows = materialise(texts.mapInArrow(_shingles, "cls long, comp long, n long, shingle long"), "crowd_shingles")
-    often = rows.groupBy("shingle").agg(F.count("*").alias("often"))
-    place = F.row_number().over(Window.partitionBy("cls").orderBy("often", "shingle")) - 1
-    rare = rows.join(often, "shingle").withColumn("at", place).filter(4 * F.col("at") <= F.col("n")).filter("often > 1")
-    rare = materialise(rare.select("shingle", "cls", "comp", "n", (F.col("n") - F.col("at")).alias("left")), "rare_shingles")
-    side = lambda s: rare.select("shingle", F.col("cls").alias(s), F.col("comp").alias(f"c{s}"), F.col("n").alias(f"n{s}"), F.col("left").alias(f"l{s}"))
-    y = side("p").withColumnRenamed("shingle", "same")
-    enough = (F.col("x") > F.col("p")) & (F.col("cx") != F.col("cp")) & (7 * F.least("lx", "lp") >= 3 * (F.col("nx") + F.col("np"))) & (4 * F.least("nx", "np") >= 3 * F.greatest("nx", "np"))
-    return side("x").join(y, (F.col("shingle") == F.col("same")) & enough).select("x", "p").distinct()
+    crowd = materialise(cells.filter(F.col("members") > FEW).select("node", "comp").distinct().join(classes.select("node", "text_hash"), "node"), "crowd")
+    texts = _texts(documents, crowd.select("text_hash").distinct()).join(crowd, "text_hash").select("node", "comp", "text")
+    rows = materialise(texts.mapInArrow(_shingles, "node long, comp long, n long, shingle long"), "crowd_shingles")
+    often = materialise(rows.groupBy("shingle").agg(F.count("*").alias("often")), "often")
+    place = F.row_number().over(Window.partitionBy("node").orderBy("often", "shingle")) - 1
+    rare = spread_join(rows, often, ["shingle"], ["node"]).withColumn("at", place).filter(4 * F.col("at") <= F.col("n")).filter("often > 1")
+    rare = materialise(rare.select("shingle", "node", "comp", "n", (F.col("n") - F.col("at")).alias("left")), "rare_shingles")
+    per = rare.groupBy("shingle", "comp").count().groupBy("shingle").agg(F.max(F.struct("count", "comp")).alias("best"), F.count("*").alias("comps"))
+    largest = materialise(per.filter("comps > 1").select("shingle", F.col("best.comp").alias("largest")), "largest")
+    mixed = materialise(spread_join(rare, largest, ["shingle"], ["node"]), "mixed_shingles")
+    side = lambda s: mixed.select("shingle", "largest", F.col("node").alias(s), F.col("comp").alias(f"c{s}"), F.col("n").alias(f"n{s}"), F.col("left").alias(f"l{s}"))
+    x = materialise(side("x").filter("cx <> largest").drop("largest"), "outside")
+    enough = "cx <> cp AND (cp = largest OR x > p) AND 7 * least(lx, lp) >= 3 * (nx + np) AND 4 * least(nx, np) >= 3 * greatest(nx, np)"
+    return spread_join(side("p"), x, ["shingle"], ["p"]).filter(enough).select("x", "p")

@@ -394,7 +394,7 @@ def test_rare_places_meet_wherever_passages_link():
         found = []
         for v in pair:
             n = np.array([often.get(int(c), 0) for c in v])
-            rare, asked = passages.rare_places(v, n, np.ones(len(v), bool), t, 75)
+            rare, asked = passages.rare_places(v, n, np.ones(len(v), bool), np.array([len(v)]), t, 75)
             assert (rare == asked).all() and not (rare & (n == 0)).any()
             found.append(set(v[rare].tolist()))
         sets = [[set(v[i : i + t].tolist()) for i in range(len(v) - t + 1)] for v in pair]
