@@ -8,8 +8,8 @@ import uuid
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-#: What may be broadcast: rows of a few numbers, and bytes as written; beyond either a shuffle takes over.
-BROADCAST_ROWS, BROADCAST_BYTES = 2_000_000, 64 << 20
+#: What may be broadcast, in bytes of its rows; beyond it a shuffle takes over.
+BROADCAST_BYTES = 48 << 20
 #: A key with more rows than this, and more than one in SHARES of all, is dealt over several tasks.
 HOT_ROWS, SHARES = 2_000, 10_000
 _local_roots: dict[str, str] = {}
@@ -41,11 +41,12 @@ def materialise(df: DataFrame, name: str) -> DataFrame:
 
 
 def small(df: DataFrame, size: Column | None = None) -> bool:
-    """Whether a materialised table is within both bounds of a broadcast; ``size``: bytes of a row that are not plain numbers."""
-    if size is None:
-        return df.count() <= BROADCAST_ROWS
-    row = df.agg(F.count("*").alias("n"), F.sum(size.cast("long")).alias("b")).first()
-    return row["n"] <= BROADCAST_ROWS and (row["b"] or 0) <= BROADCAST_BYTES
+    """Whether a materialised table may be broadcast; ``size``: bytes of a row's strings and arrays, where it has any."""
+    n = df.count()  # from the files' footers
+    plain = n * 8 * (len(df.columns) + 1)
+    if plain > BROADCAST_BYTES or size is None:
+        return plain <= BROADCAST_BYTES
+    return plain + (df.agg(F.sum(size.cast("long"))).first()[0] or 0) <= BROADCAST_BYTES
 
 
 def counted(df: DataFrame, size: Column | None = None) -> DataFrame:
