@@ -36,13 +36,14 @@ FROM w LEFT JOIN n ON w.doc_id = n.doc_id JOIN (SELECT x, min(y) AS c FROM r GRO
 """
 
 LEAKS = r"""
-WITH b AS (SELECT DISTINCT item_id, words FROM (SELECT item_id, list_filter(string_split_regex(lower(coalesce(text, '')), '[\x00-\x2F\x3A-\x60\x7B-\x7F]+'), lambda x: x <> '') AS words FROM benchmark) WHERE len(words) >= 8),
+WITH b AS (SELECT DISTINCT item_id, words FROM (SELECT item_id, list_filter(string_split_regex(lower(coalesce(text, '')), '[\x00-\x2F\x3A-\x60\x7B-\x7F]+'), lambda x: x <> '') AS words FROM benchmark) WHERE len(words) >= 1),
 d AS (SELECT doc_id, list_filter(string_split_regex(lower(coalesce(text, '')), '[\x00-\x2F\x3A-\x60\x7B-\x7F]+'), lambda x: x <> '') AS words FROM documents),
 bw AS (SELECT item_id, len(words) AS n, i, words[i] AS word FROM (SELECT *, unnest(generate_series(1, len(words))) AS i FROM b)),
 dw AS (SELECT doc_id, i, words[i] AS word FROM (SELECT *, unnest(generate_series(1, len(words))) AS i FROM d)),
-b4 AS (SELECT item_id, i, array_to_string(words[i:i + 3], ' ') AS t FROM (SELECT *, unnest(generate_series(1, len(words) - 3)) AS i FROM b)),
+b4 AS (SELECT item_id, i, array_to_string(words[i:i + 3], ' ') AS t FROM (SELECT *, unnest(generate_series(1, len(words) - 3)) AS i FROM b WHERE len(words) >= 4)),
 d4 AS (SELECT doc_id, i, array_to_string(words[i:i + 3], ' ') AS t FROM (SELECT *, unnest(generate_series(1, len(words) - 3)) AS i FROM d WHERE len(words) >= 4)),
-c AS (SELECT DISTINCT doc_id, item_id, d4.i - b4.i AS shift FROM d4 JOIN b4 USING (t)),
+c AS (SELECT DISTINCT doc_id, item_id, d4.i - b4.i AS shift FROM d4 JOIN b4 USING (t)
+      UNION SELECT doc_id, item_id, dw.i - 1 FROM b JOIN dw ON dw.word = b.words[1] WHERE len(b.words) < 4),
 e AS (SELECT c.*, bw.n, bw.i, (CASE WHEN dw.word = bw.word THEN 1 ELSE 0 END) AS equal FROM c JOIN bw USING (item_id) LEFT JOIN dw ON dw.doc_id = c.doc_id AND dw.i = bw.i + c.shift),
 s AS (SELECT *, sum(equal) OVER (PARTITION BY doc_id, item_id, shift ORDER BY i ROWS BETWEEN CURRENT ROW AND 11 FOLLOWING) AS got, sum(equal) OVER (PARTITION BY doc_id, item_id, shift) AS total FROM e),
 f AS (SELECT doc_id, item_id, shift, n, total FROM s WHERE (n >= 12 AND got >= 10) OR (n < 12 AND total = n) GROUP BY ALL)
