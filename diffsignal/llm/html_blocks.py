@@ -8,6 +8,7 @@ from __future__ import annotations
 
 import html
 import re
+from collections import Counter
 from dataclasses import dataclass
 
 TAG = re.compile(r"<!--.*?(?:-->|\Z)|<[!?][^>]*(?:>|\Z)|<(/?)([A-Za-z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)(?:>|\Z)|<(/?)([A-Za-z][^\s/>]*)([^>]*)(?:>|\Z)", re.S)
@@ -87,6 +88,7 @@ def blocks(page: str) -> list[Block]:
     root = Element("", 0, 0, None, 0, False)
     stack, out, parts, linked, made = [root], [], [], 0, 0
     in_link = 0
+    held: Counter[str] = Counter()  # open elements by tag, so that nothing is looked for that is not there
 
     def text(raw: str) -> None:
         nonlocal linked
@@ -108,11 +110,14 @@ def blocks(page: str) -> list[Block]:
     def close(tags: set[str] | frozenset[str], stop: frozenset[str]) -> None:
         """Pop down to the nearest open element of ``tags`` if none of ``stop`` is above it."""
         nonlocal in_link
+        if not any(held[t] for t in tags):
+            return
         for i in range(len(stack) - 1, 0, -1):
             if stack[i].tag in tags:
                 if stack[i].context != stack[i - 1].context:
                     flush()
                 in_link -= sum(e.tag == "a" for e in stack[i:])
+                held.subtract(e.tag for e in stack[i:])
                 del stack[i:]
                 return
             if stack[i].tag in stop:
@@ -155,6 +160,7 @@ def blocks(page: str) -> list[Block]:
         if context != stack[-1].context:
             flush()
         stack.append(Element(tag, made, len(stack), stack[-1], context, hidden))
+        held[tag] += 1
         in_link += tag == "a"
     text(page[at:])
     flush()

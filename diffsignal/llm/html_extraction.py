@@ -21,11 +21,11 @@ from pyspark.sql import functions as F
 from .html_blocks import Block, Element, blocks
 
 # The classifier's weights, in units of log odds.
-CONTEXT = {1: 6.0, 0: 0.5, -1: -5.0, -2: -8.0}
+CONTEXT = {1: 3.0, 0: 0.0, -1: -4.0, -2: -6.0}
 TAGS = {"p": 1.0, "h1": 1.0, "blockquote": 0.5, "pre": 0.5, "li": -0.5, "td": -0.5}
 LENGTH, LINKS, SENTENCE = 0.8, -4.0, 0.5
-#: Smoothness of neighbours at distance 0; each step in the DOM divides it by STEP.
-ADJACENT, SIBLING, STEP, UNIT = 0.5, 0.3, 2.0, 1000
+#: Smoothness of neighbours at distance 0 and of siblings; each step in the DOM beyond two paragraphs of one parent divides it by STEP, a change of context by APART.
+ADJACENT, SIBLING, STEP, APART, UNIT = 1.8, 1.2, 2.0, 20.0, 1000
 
 
 def score(b: Block) -> float:
@@ -112,13 +112,13 @@ def network(found: list[Block]) -> tuple[list[tuple[int, int]], list[tuple[int,
     softplus = lambda x: max(x, 0.0) + math.log1p(math.exp(-abs(x)))
     capacities = [(round(UNIT * softplus(s)), round(UNIT * softplus(-s))) for s in map(score, found)]
     edges, last = [], {}
+    tie = lambda i, j, w: edges.append((i, j, round(UNIT * w / (1.0 if found[i].context == found[j].context else APART))))
     for i, b in enumerate(found):
         if i:
-            near = found[i - 1].parent
-            edges.append((i - 1, i, round(UNIT * ADJACENT / STEP ** min(dom_distance(near, b.parent), 30))))
+            tie(i - 1, i, ADJACENT / STEP ** max(0, min(dom_distance(found[i - 1].parent, b.parent), 30) - 2))
         above = b.parent.parent.number if b.parent.parent else -1
         if above in last:
-            edges.append((last[above], i, round(UNIT * SIBLING)))
+            tie(last[above], i, SIBLING)
         last[above] = i
     return capacities, [e for e in edges if e[2]]
 

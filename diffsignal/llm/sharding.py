@@ -1,7 +1,8 @@
 """Hilbert-curve sharding by document metadata (operator 5).
 
-Source, language and size are quantised to four bits each; a document's place
-on the Hilbert curve through that cube orders it, so a run of the order spans
+Source, language and size are quantised to four bits each by rank, so that a
+cell is a range of names and of sizes with about as many documents as others;
+a document's place on the Hilbert curve through that cube orders it, so a run of the order spans
 few values in every dimension and its files' statistics prune in each of them.
 The order is cut into runs whose row counts differ by one at most.
 
@@ -53,12 +54,36 @@ def _curve(dims: list[Column]) -> Column:
     return F.element_at(F.lit(grid), (cell + 1).cast("int"))
 
 
+def _cuts(values: DataFrame) -> list[tuple[int, object]]:
+    """Up to 16 (cell, first value) that part the rows of (value) into 16 ranges of about equal count; a frequent value spans several cells.
+
+    Counts by value are summed up in order of value: inside range partitions,
+    and over the partitions' totals, which are one row each.
+    """
+    counts = values.groupBy("value").agg(F.count("*").alias("n")).repartitionByRange("value")
+    counts = materialise(counts.withColumn("part", F.spark_partition_id()), "value_counts")
+    totals = counts.groupBy("part").agg(F.sum("n").alias("rows"))
+    over = Window.orderBy("part")
+    bases = totals.select("part", (F.sum("rows").over(over.rowsBetween(Window.unboundedPreceding, 0)) - F.col("rows")).alias("base"), F.sum("rows").over(over.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)).alias("total"))
+    before = F.sum("n").over(Window.partitionBy("part").orderBy("value")) - F.col("n")
+    ranked = counts.withColumn("before", before).join(F.broadcast(bases), "part")
+    cell = F.floor((F.col("base") + F.col("before")) * (1 << BITS) / F.col("total"))
+    return sorted((r["cell"], r["cut"]) for r in ranked.groupBy(cell.alias("cell")).agg(F.min("value").alias("cut")).collect())
+
+
 def quantised(docs: DataFrame) -> list[Column]:
-    """Four bits each for source and language (hashed: they are names) and for the size (its logarithm)."""
-    column = lambda c: docs[c] if c in docs.columns else F.lit(None).cast("string")
-    named = lambda c: F.pmod(F.xxhash64(F.coalesce(column(c).cast("string"), F.lit("")), F.lit(c)), F.lit(1 << BITS)).cast("int")
-    size = F.coalesce(F.octet_length(docs["text"]), F.lit(0)) + 1
-    return [named("source"), named("lang"), F.least(F.lit(15), F.floor(F.log2(size.cast("double")))).cast("int")]
+    """Four bits each for source, language and size: the cell in which the value lies by rank."""
+    text = lambda c: F.coalesce((docs[c] if c in docs.columns else F.lit(None)).cast("string"), F.lit(""))
+    # sizes are told to a sixteenth of their binary logarithm: 1,024 values at most
+    size = F.floor(F.log2((F.coalesce(F.octet_length(docs["text"]), F.lit(0)) + 1).cast("double")) * 16).cast("int")
+    out = []
+    for value in (text("source"), text("lang"), size):
+        cuts = _cuts(docs.select(value.alias("value")))
+        cell = F.lit(0)
+        for number, first in cuts[1:]:
+            cell = F.when(value >= F.lit(first), number).otherwise(cell)
+        out.append(cell.cast("int"))
+    return out
 
 
 def hilbert_shards(docs: DataFrame, shards: int = 16) -> DataFrame:
@@ -71,13 +96,21 @@ def hilbert_shards(docs: DataFrame, shards: int = 16) -> DataFrame:
     texts are placed like others.  grown_shard is null: under this law a
     further shard moves rows between old ones.
     """
+    return _ranked(docs, shards, False)
+
+
+def _ranked(docs: DataFrame, shards: int, whole: bool) -> DataFrame:
+    """The columns of ``hilbert_shards`` and, if ``whole``, each document as a struct ``doc``."""
     rows = docs.select(
         docs["doc_id"].cast("long").alias("doc_id"),
         (F.coalesce(F.octet_length(docs["text"]), F.lit(0)) + 1).cast("long").alias("size"),
         F.crc32(F.coalesce(docs["text"].cast("string"), F.lit(""))).alias("text_crc32"),
         _curve(quantised(docs)).cast("int").alias("curve"),
+        *([F.struct(*[docs[f"`{c}`"] for c in docs.columns]).alias("doc")] if whole else []),
     )
-    rows = rows.withColumn("slice", F.pmod(F.xxhash64("doc_id", "text_crc32"), F.lit(SLICES)).cast("int"))
+    # null ids with one text are told apart by their place in the input
+    told = F.when(F.col("doc_id").isNull(), F.monotonically_increasing_id())
+    rows = rows.withColumn("slice", F.pmod(F.xxhash64("doc_id", "text_crc32", told), F.lit(SLICES)).cast("int"))
     rows = materialise(rows, "placed")
 
     slices = rows.groupBy("curve", "slice").agg(F.count("*").alias("n"))
@@ -97,13 +130,13 @@ def hilbert_shards(docs: DataFrame, shards: int = 16) -> DataFrame:
     ranked = ranked.withColumn("shard", F.when(F.col("g") < F.col("head"), F.floor(F.col("g") / (F.col("q") + 1))).otherwise(F.col("r") + F.floor((F.col("g") - F.col("head")) / F.greatest(F.col("q"), F.lit(1)))))
     first = F.col("shard") * F.col("q") + F.least(F.col("shard"), F.col("r"))
     return ranked.select(
-        "doc_id", "size", "text_crc32", F.lit("rows").alias("law"), F.col("shard").cast("int"), (F.col("g") - first).cast("long").alias("slot"), F.lit(None).cast("int").alias("grown_shard"), "curve",
+        "doc_id", "size", "text_crc32", F.lit("rows").alias("law"), F.col("shard").cast("int"), (F.col("g") - first).cast("long").alias("slot"), F.lit(None).cast("int").alias("grown_shard"), "curve", *(["doc"] if whole else []),
     )
 
 
 def write_shards(docs: DataFrame, path: str, shards: int = 16) -> None:
-    """Write whole documents as one folder a shard, rows in curve order, so file statistics prune in every dimension."""
-    placed = hilbert_shards(docs, shards).select("doc_id", "text_crc32", "shard", "slot").dropDuplicates(["doc_id", "text_crc32"])
-    keyed = docs.withColumn("text_crc32", F.crc32(F.coalesce(F.col("text").cast("string"), F.lit(""))))
-    found = keyed.join(placed, keyed["doc_id"].eqNullSafe(placed["doc_id"]) & (keyed["text_crc32"] == placed["text_crc32"])).drop(placed["doc_id"]).drop("text_crc32")
-    found.repartitionByRange("shard", "slot").sortWithinPartitions("shard", "slot").drop("slot").write.partitionBy("shard").parquet(path)
+    """Write whole documents as one folder a shard, rows in curve order, so file statistics prune in every dimension; a column ``shard`` of the input gives way."""
+    placed = _ranked(docs, shards, True).select("shard", "slot", "doc")
+    ordered = placed.repartitionByRange("shard", "slot").sortWithinPartitions("shard", "slot")
+    names = [c for c in docs.columns if c != "shard"]
+    ordered.select("shard", *[F.col(f"doc.`{c}`").alias(c) for c in names]).write.partitionBy("shard").parquet(path)
