@@ -46,5 +46,6 @@ def hash_embedding(text: Column, dimension: int = 16) -> Column:
     """A deterministic stand-in for an embedding: the bytes of MD5 as fractions, 16 dimensions at most."""
     if not 1 <= dimension <= 16:
         raise ValueError("MD5 has 16 bytes")
-    byte = lambda i: F.conv(F.substring(F.md5(text), i * 2 + 1, F.lit(2)), 16, 10).cast("double") / 255.0
-    return F.transform(F.sequence(F.lit(0), F.lit(dimension - 1)), byte)
+    # the digest is split once; no lambda takes it again for each dimension
+    digits = F.regexp_extract_all(F.md5(text), F.lit("(..)"), 1)
+    return F.transform(F.slice(digits, 1, dimension), lambda d: F.conv(d, 16, 10).cast("double") / 255.0)

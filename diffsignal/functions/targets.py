@@ -5,32 +5,43 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-#: Provider, kind and pattern, tried in order; groups are owner (or group), repository (or project) and number.
-TARGETS = (
-    ("github", "pr", r"github\.com/([^/]+)/([^/]+)/pull/(\d+)"),
-    ("gitlab", "mr", r"gitlab\.com/(.+?)/([^/]+)/-/merge_requests/(\d+)"),
-    ("codeberg", "pr", r"codeberg\.org/([^/]+)/([^/]+)/pulls/(\d+)"),
-    ("github", "repo", r"github\.com/([^/]+)/([^/?#]+?)(?:\.git)?/?$"),
-    ("gitlab", "repo", r"gitlab\.com/(.+?)/([^/?#]+?)(?:\.git)?/?$"),
-    ("codeberg", "repo", r"codeberg\.org/([^/]+)/([^/?#]+?)(?:\.git)?/?$"),
-)
+#: Hosts by provider, and what stands before the number of a change there.
+HOSTS = {"github.com": "github", "gitlab.com": "gitlab", "codeberg.org": "codeberg"}
+CHANGES = {"github": ("pr", "pull"), "gitlab": ("mr", "merge_requests"), "codeberg": ("pr", "pulls")}
 
 
 def classify_target(target: Column | str) -> Column:
-    """struct(provider, kind, root, owner, repo, number); anything else is a path of the file system, null is null."""
-    t = F.col(target) if isinstance(target, str) else target
-
-    def found(provider: str, kind: str, pattern: str) -> Column:
-        part = lambda i: F.regexp_extract(t, pattern, i)
-        number = part(3) if kind != "repo" else F.lit(None).cast("string")
-        return F.struct(F.lit(provider).alias("provider"), F.lit(kind).alias("kind"), t.alias("root"), part(1).alias("owner"), F.regexp_replace(part(2), r"\.git$", "").alias("repo"), number.alias("number"))
+    """struct(provider, kind, root, owner, repo, number); anything else is a path of the file system, null is null.
 
+    The address is split at slashes.  Behind a known host stand the owner (on
+    gitlab a path of groups) and the repository, and behind these the word for
+    a change and its number.
+    """
+    t = F.col(target) if isinstance(target, str) else target
     none = F.lit(None).cast("string")
-    local = F.struct(F.lit("filesystem").alias("provider"), none.alias("kind"), t.alias("root"), none.alias("owner"), none.alias("repo"), none.alias("number"))
-    out = None
-    for provider, kind, pattern in TARGETS:
-        out = (F if out is None else out).when(t.rlike(pattern), found(provider, kind, pattern))
-    return F.when(t.isNotNull(), out.otherwise(local))
+
+    def struct(provider: str, kind: Column, owner: Column, repo: Column, number: Column) -> Column:
+        return F.struct(F.lit(provider).alias("provider"), kind.alias("kind"), t.alias("root"), owner.alias("owner"), F.regexp_replace(repo, r"\.git$", "").alias("repo"), number.alias("number"))
+
+    out = struct("filesystem", none, none, none, none)
+    for host, provider in reversed(HOSTS.items()):
+        kind, word = CHANGES[provider]
+        tail = F.split(F.substring_index(t, f"{host}/", -1), "/")
+        place = F.array_position(tail, word).cast("int")  # from 1; 0 where there is none
+        digits = F.regexp_extract(F.get(tail, place), r"^\d+", 0)
+        names = F.slice(tail, 1, F.greatest(place - (2 if provider == "gitlab" else 1), F.lit(0)))
+        grouped = provider == "gitlab"
+        filled = lambda a: F.forall(a, lambda x: x != "")
+        enough = (F.size(names) >= 2) if grouped else (F.size(names) == 2)
+        fits = (place > 0) & (digits != "") & enough & filled(names)
+        if grouped:
+            fits &= F.get(tail, place - 2) == "-"
+        split = lambda a: (F.array_join(F.slice(a, 1, F.greatest(F.size(a) - 1, F.lit(0))), "/"), F.get(a, F.size(a) - 1))
+        plain = F.when((F.size(tail) > 1) & (F.get(tail, F.size(tail) - 1) == ""), F.slice(tail, 1, F.greatest(F.size(tail) - 1, F.lit(0)))).otherwise(tail)
+        whole = ((F.size(plain) >= 2) if grouped else (F.size(plain) == 2)) & filled(plain) & ~F.get(plain, F.size(plain) - 1).rlike("[?#]")
+        here = F.contains(t, F.lit(f"{host}/"))
+        out = F.when(here & fits, struct(provider, F.lit(kind), *split(names), digits)).when(here & whole, struct(provider, F.lit("repo"), *split(plain), none)).otherwise(out)
+    return F.when(t.isNotNull(), out)
 
 
 def parse_pull_url(url: Column | str, strict: bool = False) -> Column:

@@ -12,23 +12,27 @@ from ..functions.text import chunk_id
 def char_chunks(files: DataFrame, size: int = 1000, overlap: int = 200, content: str = "content") -> DataFrame:
     """``files`` with (ord, content) of each window of ``size`` characters; an empty or null text has none.
 
-    The number of windows has a closed form, so this is one narrow explode.
+    The number of windows has a closed form; the windows are cut as an array
+    in the row, so that no copy of the whole text is carried by each.
     """
     if overlap >= size:
         raise ValueError("overlap must be smaller than size")
     length, step = F.length(content), size - overlap
     n = F.when(length <= size, 1).otherwise(1 + F.ceil((length - size) / step)).cast("int")
-    rows = files.filter(F.length(content) > 0).withColumn("ord", F.explode(F.sequence(F.lit(0), n - 1)))
-    return rows.withColumn(content, F.substring(F.col(content), F.col("ord") * step + 1, F.lit(size)))
+    cut = F.transform(F.sequence(F.lit(0), n - 1), lambda i: F.substring(F.col(content), i * step + 1, F.lit(size)))
+    rest = [F.col(f"`{c}`") for c in files.columns if c != content]
+    return files.filter(F.length(content) > 0).select(*rest, F.posexplode(cut).alias("ord", content)).select(*[F.col(f"`{c}`") for c in files.columns], "ord")
 
 
 def line_chunks(files: DataFrame, lines: int = 120, size: int = 8000, content: str = "content") -> DataFrame:
     """``files`` with (ord, content, line_start, line_end) of each run of lines, cut to ``size``; an empty text is one chunk."""
     every = F.split(F.coalesce(F.col(content), F.lit("")), "\n", -1)
-    rows = files.withColumn("__lines", every).withColumn("ord", F.explode(F.sequence(F.lit(0), F.floor((F.size("__lines") - 1) / lines).cast("int"))))
-    part = F.slice("__lines", F.col("ord") * lines + 1, F.lit(lines))
-    out = rows.withColumns({content: F.substring(F.array_join(part, "\n"), 1, size), "line_start": F.col("ord") * lines + 1, "line_end": F.least((F.col("ord") + 1) * lines, F.size("__lines"))})
-    return out.drop("__lines")
+    rows = files.withColumn("__lines", every)
+    n = F.size("__lines")
+    runs = F.transform(F.sequence(F.lit(0), F.floor((n - 1) / lines).cast("int")), lambda i: F.struct(F.substring(F.array_join(F.slice("__lines", i * lines + 1, F.lit(lines)), "\n"), 1, size).alias(content), (i * lines + 1).alias("line_start"), F.least((i + 1) * lines, n).alias("line_end")))
+    rest = [F.col(f"`{c}`") for c in files.columns if c != content]
+    out = rows.select(*rest, F.posexplode(runs).alias("ord", "__run"))
+    return out.select(*[F.col(f"__run.`{c}`").alias(c) if c == content else F.col(f"`{c}`") for c in files.columns], "ord", "__run.line_start", "__run.line_end")
 
 
 def build_chunks(files: DataFrame, size: int = 1000, overlap: int = 200) -> DataFrame:

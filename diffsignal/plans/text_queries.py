@@ -83,18 +83,16 @@ TARGET = """CASE page_id % 8 WHEN 0 THEN concat('https://github.com/own', page_i
  WHEN 5 THEN concat('https://codeberg.org/own/rep', page_id) WHEN 6 THEN concat('https://github.com/own', page_id % 5, '/rep.git/pull/', page_id) ELSE url END"""
 
 
-def _target_sql() -> str:
-    def case(column: str) -> str:
-        parts = []
-        for provider, kind, pattern in targets.TARGETS:
-            value = {"provider": f"'{provider}'", "kind": f"'{kind}'", "owner": f"regexp_extract(t, '{pattern}', 1)", "repo": rf"regexp_replace(regexp_extract(t, '{pattern}', 2), '\.git$', '')", "number": f"regexp_extract(t, '{pattern}', 3)" if kind != "repo" else "NULL"}[column]
-            parts.append(f"WHEN regexp_matches(t, '{pattern}') THEN {value}")
-        return f"CASE {' '.join(parts)} ELSE {chr(39) + 'filesystem' + chr(39) if column == 'provider' else 'NULL'} END AS {column}"
-
-    return f"WITH p AS (SELECT page_id, {TARGET} AS t FROM pages) SELECT page_id, {', '.join(map(case, ('provider', 'kind', 'owner', 'repo', 'number')))} FROM p"
-
-
-@query(_target_sql())
+@query(rf"""
+WITH p AS (SELECT page_id, {TARGET} AS t FROM pages),
+h AS (SELECT *, CASE WHEN contains(t, 'github.com/') THEN 'github' WHEN contains(t, 'gitlab.com/') THEN 'gitlab' WHEN contains(t, 'codeberg.org/') THEN 'codeberg' END AS host,
+ string_split(rtrim(regexp_extract(t, '(?:github\.com|gitlab\.com|codeberg\.org)/(.*)$', 1), '/'), '/') AS s FROM p),
+c AS (SELECT *, CASE host WHEN 'github' THEN coalesce(list_position(s, 'pull'), 0) WHEN 'codeberg' THEN coalesce(list_position(s, 'pulls'), 0) ELSE coalesce(list_position(s, '-'), 0) END AS place FROM h),
+n AS (SELECT *, CASE WHEN place > 0 THEN s[1:place - 1] ELSE s END AS names FROM c)
+SELECT page_id, coalesce(host, 'filesystem') AS provider, CASE WHEN host IS NULL THEN NULL WHEN place = 0 THEN 'repo' WHEN host = 'gitlab' THEN 'mr' ELSE 'pr' END AS kind,
+ CASE WHEN host IS NOT NULL THEN array_to_string(names[1:len(names) - 1], '/') END AS owner, CASE WHEN host IS NOT NULL THEN regexp_replace(names[len(names)], '\.git$', '') END AS repo,
+ CASE WHEN host IS NOT NULL AND place > 0 THEN s[len(s)] END AS number FROM n
+""")
 def classify_target(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = table(spark, sf_dir, "pages").select("page_id", targets.classify_target(F.expr(TARGET)).alias("t"))
     return rows.select("page_id", "t.provider", "t.kind", "t.owner", "t.repo", "t.number")
