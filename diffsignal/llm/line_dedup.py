@@ -91,7 +91,7 @@ def drop_recurring_lines(docs: DataFrame, min_docs: int = 10, min_tokens: int =
     """
     drops = recurring_lines(docs, min_docs, min_tokens, copied).groupBy("key").agg(F.collect_set("line_no").alias("__drop"))
     drops = materialise(drops, "drops")
-    keyed = docs.withColumn("__key", _key(docs)).join(counted(drops.withColumnRenamed("key", "__key"), 500_000), "__key", "left")
+    keyed = docs.withColumn("__key", _key(docs)).join(counted(drops.withColumnRenamed("key", "__key"), 4 * F.size("__drop")), "__key", "left")
     lines = F.split("text", "\n", -1)
     kept = F.filter(F.transform(lines, lambda x, i: F.when(~F.array_contains("__drop", i), x)), lambda x: x.isNotNull())
     text = F.when(F.col("__drop").isNotNull(), F.array_join(kept, "\n")).otherwise(F.col("text"))
