@@ -50,3 +50,34 @@ f AS (SELECT doc_id, item_id, shift, n, total FROM s WHERE (n >= 12 AND got >= 1
 SELECT doc_id, item_id, total::BIGINT AS n_equal, n::BIGINT AS item_words, shift::BIGINT AS first_word
 FROM (SELECT *, row_number() OVER (PARTITION BY doc_id, item_id ORDER BY total DESC, shift) AS k FROM f) WHERE k = 1
 """
+
+RESAMPLING = r"""
+WITH d AS (SELECT doc_id, list_filter(string_split_regex(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\x00-\x2F\x3A-\x60\x7B-\x7F]+'), lambda x: x <> '') AS w FROM documents),
+g AS (SELECT list_filter(string_split_regex(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\x00-\x2F\x3A-\x60\x7B-\x7F]+'), lambda x: x <> '') AS w FROM benchmark),
+df AS (SELECT doc_id, unnest(w) AS f FROM d UNION ALL SELECT doc_id, w[i] || ' ' || w[i + 1] FROM (SELECT doc_id, w, unnest(generate_series(1, len(w) - 1)) AS i FROM d)),
+gf AS (SELECT unnest(w) AS f FROM g UNION ALL SELECT w[i] || ' ' || w[i + 1] FROM (SELECT w, unnest(generate_series(1, len(w) - 1)) AS i FROM g)),
+dc AS (SELECT doc_id, f, count(*) AS n FROM df GROUP BY ALL),
+fs AS (SELECT DISTINCT f FROM dc UNION SELECT DISTINCT f FROM gf),
+k AS (SELECT list(list_reduce(list_prepend(i::UBIGINT, [0, 0, 0, 0, 0, 0, 0, 0]::UBIGINT[]), lambda c, z: CASE WHEN c & 1 = 1 THEN xor(c >> 1, 3988292384::UBIGINT) ELSE c >> 1 END) ORDER BY i) AS t FROM range(256) r(i)),
+h AS (SELECT f, xor(list_reduce(list_prepend(4294967295::UBIGINT, list_transform(generate_series(1, octet_length(encode(f))), lambda j: ('0x' || hex(encode(f))[2 * j - 1:2 * j])::UBIGINT)), lambda c, b: xor(c >> 8, t[(xor(c, b) & 255)::BIGINT + 1])), 4294967295::UBIGINT) % 10000 AS b FROM fs, k),
+s AS (SELECT b, sum(n) AS n FROM dc JOIN h USING (f) GROUP BY b),
+t AS (SELECT b, count(*) AS n FROM gf JOIN h USING (f) GROUP BY b),
+u AS (SELECT (SELECT coalesce(sum(n), 0) FROM s) AS s, (SELECT coalesce(sum(n), 0) FROM t) AS t),
+ga AS (SELECT b.b, floor(1000 * ln((coalesce(t.n, 0) + 1)::DOUBLE * (u.s + 10000)::DOUBLE / ((coalesce(s.n, 0) + 1)::DOUBLE * (u.t + 10000)::DOUBLE)))::BIGINT AS gain
+       FROM (SELECT b::BIGINT AS b FROM range(10000) r(b)) b LEFT JOIN s ON s.b = b.b LEFT JOIN t ON t.b = b.b, u),
+w AS (SELECT doc_id, sum(n * gain) AS total, sum(n) AS m FROM dc JOIN h USING (f) JOIN ga USING (b) GROUP BY doc_id),
+x AS (SELECT d.doc_id, len(d.w) AS words, coalesce(w.m, 0)::BIGINT AS n_features, CASE WHEN w.m > 0 THEN ((w.total - (((w.total % w.m) + w.m) % w.m)) // w.m)::BIGINT ELSE 0 END AS weight, ('0x' || sha256('7:' || d.doc_id)[1:8])::UBIGINT::DOUBLE AS h FROM d LEFT JOIN w ON d.doc_id = w.doc_id),
+y AS (SELECT *, weight + floor(-1000 * ln(-ln((h + 0.5) / 4294967296)))::BIGINT AS score FROM x),
+r AS (SELECT *, CASE WHEN words >= 20 THEN row_number() OVER (PARTITION BY words >= 20 ORDER BY score DESC, doc_id) END AS k, count(*) FILTER (words >= 20) OVER () AS n FROM y)
+SELECT doc_id, n_features, weight, score, CASE WHEN k <= 25 * n // 100 THEN k END AS rank FROM r
+"""
+
+HARD_NEGATIVES = """
+WITH v AS (SELECT vec_id, CASE WHEN vec_id % 7 = 0 THEN (label + 1) % 10 ELSE label END AS label, list_transform(embedding, lambda x: floor(256 * x::DOUBLE)) AS e FROM embeddings
+           WHERE vec_id IS NOT NULL AND label IS NOT NULL AND embedding IS NOT NULL AND coalesce(list_bool_and(list_transform(embedding, lambda x: x IS NOT NULL AND isfinite(x))), true)),
+s AS (SELECT a.vec_id AS anchor_id, b.vec_id AS id, a.label = b.label AS same, list_dot_product(a.e, b.e)::BIGINT AS score FROM v a JOIN v b ON a.vec_id % 100 = 0 AND a.vec_id <> b.vec_id),
+p AS (SELECT anchor_id, id AS positive_id, score AS positive_score FROM s WHERE same QUALIFY row_number() OVER (PARTITION BY anchor_id ORDER BY score DESC, id) <= 5)
+SELECT anchor_id, positive_id, row_number() OVER w AS rank, id AS negative_id, positive_score, score AS negative_score
+FROM p JOIN s USING (anchor_id) WHERE NOT same AND 80 * positive_score <= 100 * score AND 100 * score <= 100 * positive_score
+WINDOW w AS (PARTITION BY anchor_id, positive_id ORDER BY score DESC, id) QUALIFY row_number() OVER w <= 5
+"""

@@ -8,6 +8,7 @@ import public_tokenizers
 
 from . import oracles
 from .decontamination import leaks
+from .hard_negatives import hard_negatives
 from .html_extraction import extract
 from .licenses import license_digest
 from .line_dedup import drop_recurring_lines
@@ -15,7 +16,9 @@ from .near_duplicates import near_duplicates
 from .packing import pack
 from .passages import near_passages
 from .quality import quality
+from .resampling import resample
 from .sharding import hilbert_shards
+from .simhash import simhash_duplicates
 from .token_counts import token_counts
 
 
@@ -63,6 +66,18 @@ def op10_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
     return extract(table(spark, sf_dir, "pages"))
 
 
+def op11_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return simhash_duplicates(table(spark, sf_dir, "documents"), k=3, radius=2)
+
+
+def op12_importance_resampling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return resample(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"), percent=25, min_words=20, seed=7)
+
+
+def op13_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return hard_negatives(table(spark, sf_dir, "embeddings"))
+
+
 QUERIES = {
     "op1_line_dedup": op1_line_dedup,
     "op2_quality_rules": op2_quality_rules,
@@ -74,10 +89,15 @@ QUERIES = {
     "op8_substring_dedup": op8_substring_dedup,
     "op9_packing": op9_packing,
     "op10_html_extraction": op10_html_extraction,
+    "op11_simhash_near_dedup": op11_simhash_near_dedup,
+    "op12_importance_resampling": op12_importance_resampling,
+    "op13_hard_negatives": op13_hard_negatives,
 }
 
 ORACLES: dict[str, str] = {
     "op2_quality_rules": oracles.QUALITY,
     "op3_ngram_jaccard_join": oracles.NEAR_DUPLICATES,
     "op7_decontamination": oracles.LEAKS,
+    "op12_importance_resampling": oracles.RESAMPLING,
+    "op13_hard_negatives": oracles.HARD_NEGATIVES,
 }
