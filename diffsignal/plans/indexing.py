@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from dataclasses import dataclass, field, replace
 
 from pyspark.sql import DataFrame, SparkSession
@@ -10,7 +11,8 @@ from pyspark.sql import functions as F
 from ..models import Embedder, embed
 from ..operators.chunking import build_chunks
 from ..operators.snapshots import indexable, paths_to_delete, paths_to_read, snapshot_diff
-from ..store.chunks import ChunkStore, MetadataStore
+from ..store.chunks import ATTEMPTS, ChunkStore, MetadataStore
+from ..store.log import Conflict
 
 
 @dataclass(frozen=True)
@@ -68,31 +70,48 @@ def rows_for(files: DataFrame, provider: str, name: str, ref: str, embedder: Emb
 
 
 def refresh(
-    spark: SparkSession, store: ChunkStore, metadata: MetadataStore, provider: str, name: str, commit: str, files: DataFrame, base: DataFrame | None, target: DataFrame,
-    embedder: Embedder, fingerprint: Fingerprint, force: bool = False, dry_run: bool = False, size: int = 1000, overlap: int = 200,
+    spark: SparkSession, store: ChunkStore, metadata: MetadataStore, provider: str, name: str, commit: str, files: DataFrame, base: DataFrame | Callable[[str], DataFrame] | None, target: DataFrame,
+    embedder: Embedder, fingerprint: Fingerprint, force: bool = False, dry_run: bool = False, size: int = 1000, overlap: int = 200, branch: str | None = None,
 ) -> Plan:
     """Bring one repository's index to ``commit``; a dry run plans and writes nothing.
 
-    files: (path, content) at the commit; base, target: snapshots (path, oid).
-    Deletes, new chunks and the fingerprint become visible together, as the
-    store moves its pointer after a whole new version is written.
+    files: (path, content) at the commit; base, target: snapshots (path, oid);
+    ``base`` may be a function of the commit that the index stands at.  Deletes,
+    new chunks and the fingerprint are one commit of the store: they become
+    visible together, or, if the job stops anywhere, not at all.  Where another
+    writer brought this repository on meanwhile, the plan is made again from
+    what is there now; with a fixed ``base``, which then is no longer the base
+    of anything, Conflict is raised.
     """
-    held = metadata.load(provider, name)
-    plan = plan_index(held.asDict() if held else None, fingerprint, commit, force)
-    if plan.kind == "incompatible":
-        return plan
-    if plan.kind == "incremental":
-        plan = execution_plan(plan, base if base is not None else spark.createDataFrame([], "path string, oid string"), target)
-    if dry_run:
-        return plan
+    if store.log.root != metadata.log.root:
+        raise ValueError("chunks and metadata of one index share a root, so that one commit holds both")
     kept = indexable(files.select("path", "content"))
     make = lambda f: rows_for(f, provider, name, commit, embedder, size, overlap)
-    if plan.kind == "full":
-        store.rebuild(provider, name, make(kept))
-    elif plan.kind in ("incremental", "delete-only"):
-        then = make(kept.join(plan.changed, "path", "left_semi")) if plan.kind == "incremental" else None
-        store.delete_paths(provider, name, plan.stale, then)
-    row = [(provider, name, commit, fingerprint.embedding_provider, fingerprint.embedding_model, fingerprint.embedding_dimension, fingerprint.chunk_strategy, fingerprint.chunk_version, "1")]
-    saved = spark.createDataFrame(row, "repository_provider string, repository_id string, commit_sha string, embedding_provider string, embedding_model string, embedding_dimension int, chunk_strategy string, chunk_version int, engine_version string")
-    metadata.save(saved.withColumn("created_at", F.unix_timestamp()))
+    for attempt in range(ATTEMPTS):
+        version = store.version()
+        held = metadata.load(provider, name, version)
+        plan = plan_index(held.asDict() if held else None, fingerprint, commit, force)
+        if plan.kind == "incompatible":
+            return plan
+        if plan.kind == "incremental":
+            before = base(held["commit_sha"]) if callable(base) else base
+            plan = execution_plan(plan, before if before is not None else spark.createDataFrame([], "path string, oid string"), target)
+        if dry_run:
+            return plan
+        row = [(provider, name, commit, fingerprint.embedding_provider, fingerprint.embedding_model, fingerprint.embedding_dimension, fingerprint.chunk_strategy, fingerprint.chunk_version, "1", branch)]
+        saved = spark.createDataFrame(row, "repository_provider string, repository_id string, commit_sha string, embedding_provider string, embedding_model string, embedding_dimension int, chunk_strategy string, chunk_version int, engine_version string, default_branch string")
+        does: dict = {"metadata": saved.withColumns({"created_at": F.unix_timestamp(), "gone": F.lit(False)})}
+        own = spark.createDataFrame([(provider, name)], "repo_provider string, repo_name string")
+        if plan.kind == "full":
+            does |= {"dropped": own, "added": make(kept)}
+        elif plan.kind in ("incremental", "delete-only"):
+            does["gone"] = plan.stale.withColumns({"repo_provider": F.lit(provider), "repo_name": F.lit(name)})
+            if plan.kind == "incremental":
+                does["added"] = make(kept.join(plan.changed, "path", "left_semi"))
+        try:
+            store.log.publish(store.change(version, **does))
+            return plan
+        except Conflict:
+            if attempt + 1 == ATTEMPTS or not (callable(base) or base is None):
+                raise
     return plan

@@ -6,7 +6,7 @@ CHUNK_EXTRA = "symbols array<string>, symbol_kind string, exported boolean, embe
 STORED_CHUNK = f"{CHUNK}, {CHUNK_EXTRA}"
 METADATA = (
     "repository_provider string, repository_id string, commit_sha string, embedding_provider string, embedding_model string, "
-    "embedding_dimension int, chunk_strategy string, chunk_version int, engine_version string, created_at long"
+    "embedding_dimension int, chunk_strategy string, chunk_version int, engine_version string, default_branch string, created_at long"
 )
 SOURCE = "struct<kind:string,path:string,name:string,sha:string,id:string,label:string>"
 HUNK = "struct<start_line:int,end_line:int,content:string>"

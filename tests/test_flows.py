@@ -21,7 +21,7 @@ class Repo:
     """An index of one repository whose versions are dicts of path to content."""
 
     def __init__(self, spark, root):
-        self.spark, self.store, self.meta = spark, ChunkStore(spark, f"{root}/chunks"), MetadataStore(spark, f"{root}/meta")
+        self.spark, self.store, self.meta = spark, ChunkStore(spark, f"{root}/index"), MetadataStore(spark, f"{root}/index")
         self.before = {}
 
     def to(self, commit, tree, **options):
