@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from ..functions.text import break_notes, chunk_id, embedding_query, review_prompt, type_note
 from ..models import Embedder, Model, answer, embed
 from ..operators import typescript
+from ..operators.modules import SOURCE
 from ..operators.context import in_provider_order, joined_context, sections
 from ..operators.ordered import first_of, rank_and_cap
 from ..operators.retrieval import nearest
@@ -44,11 +45,11 @@ def symbol_context(files: DataFrame, head: DataFrame, base: DataFrame) -> dict[s
     """Direct users and type dependents of the exported symbols whose shape a change alters.
 
     files: (path, patch, hunks) of the change; head, base: (path, content) of
-    the TypeScript sources on both sides.  Gates come first: only declarations
+    the TypeScript sources on both sides, with the configurations of modules.  Gates come first: only declarations
     that a hunk touches and whose signature differs reach the reference scan.
     """
     hunks = files.select("path", F.explode("hunks").alias("h")).select("path", "h.start_line", "h.end_line")
-    both = head.withColumn("side", F.lit("head")).unionByName(base.withColumn("side", F.lit("base")))
+    both = head.withColumn("side", F.lit("head")).unionByName(base.withColumn("side", F.lit("base"))).filter(F.col("path").rlike(SOURCE))
     changed = both.join(files.select("path").distinct(), "path", "left_semi")
     declared = typescript.declarations(changed)
     keys = ["path", "name", "kind"]
