@@ -6,7 +6,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..operators import snapshots
-from ..store.chunks import kept_after_delete, upsert
+from ..scratch import new_folder
+from ..store.chunks import ChunkStore, kept_after_delete, upsert
 from .registry import Registry, table
 
 query = Registry()
@@ -85,3 +86,57 @@ def upsert_metadata(spark: SparkSession, sf_dir: str) -> DataFrame:
 def list_metadata(spark: SparkSession, sf_dir: str) -> DataFrame:
     regions = table(spark, sf_dir, "region").select(F.col("r_regionkey").alias("n_regionkey"), F.col("r_name").alias("provider"))
     return table(spark, sf_dir, "nation").join(regions, "n_regionkey").select(F.col("n_name").alias("repository"), "provider", F.col("n_nationkey").alias("version"))
+
+
+# Each nation is a repository whose files are the orders of its customers.
+_OF = "SELECT c_custkey AS o_custkey, n_name AS repo FROM customer JOIN nation ON n_nationkey = c_nationkey"
+
+
+def _index(spark: SparkSession, sf_dir: str) -> ChunkStore:
+    """An index of all repositories at once, brought from one snapshot to the other by four commits.
+
+    1: everything of the base; 2: what changed or went is dropped and what is
+    new is added; 3: one repository is dropped; 4: another is rebuilt from a
+    third of its files.
+    """
+    base, target = _two(spark, sf_dir)
+    names = table(spark, sf_dir, "nation").select(F.col("n_nationkey").alias("c_nationkey"), F.col("n_name").alias("repo"))
+    of = table(spark, sf_dir, "customer").join(names, "c_nationkey").select(F.col("c_custkey").alias("o_custkey"), "repo")
+    store = ChunkStore(spark, new_folder(spark, "index"))
+    null = lambda kind: F.lit(None).cast(kind)
+
+    def chunks(files: DataFrame) -> DataFrame:
+        return files.join(of, "o_custkey").select(
+            F.sha1("path").alias("id"), F.lit("local").alias("repo_provider"), null("string").alias("repo_owner"), F.col("repo").alias("repo_name"), F.lit("c").alias("repo_ref"), "path", F.lit("code").alias("kind"), null("string").alias("language"), F.col("oid").alias("content"),
+            F.lit(1).alias("line_start"), F.lit(1).alias("line_end"), F.lit(0).cast("long").alias("indexed_at"), null("array<string>").alias("symbols"), null("string").alias("symbol_kind"), null("boolean").alias("exported"), F.array(F.length("oid").cast("float")).alias("embedding"), F.lit(1).alias("dim"),
+        )
+
+    diff = snapshots.snapshot_diff(base, target)
+    both = base.unionByName(target).select("path", "o_custkey").distinct().join(of, "o_custkey").select("path", F.lit("local").alias("repo_provider"), F.col("repo").alias("repo_name"))
+    gone = both.join(snapshots.paths_to_delete(diff), "path", "left_semi")
+    store.insert(chunks(base))
+    store.transact(lambda _: {"gone": gone, "added": chunks(target.join(snapshots.paths_to_read(diff), "path", "left_semi"))})
+    store.delete_repository("local", "KENYA")
+    store.rebuild("local", "PERU", chunks(target.filter("o_custkey % 3 = 0")).filter("repo_name = 'PERU'"))
+    return store
+
+
+@query(f"SELECT repo AS repo_name, path, oid AS content FROM ({_TARGET}) t JOIN ({_OF}) o ON t.o_custkey = o.o_custkey WHERE repo <> 'KENYA' AND (repo <> 'PERU' OR t.o_custkey % 3 = 0)")
+def index_after_commits(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What the index holds after refreshing all repositories, dropping one and rebuilding one."""
+    return _index(spark, sf_dir).read().select("repo_name", "path", "content")
+
+
+@query(f"""
+WITH b AS (SELECT repo, path, t.o_custkey FROM ({_BASE}) t JOIN ({_OF}) o ON t.o_custkey = o.o_custkey), t AS (SELECT repo, path, t.o_custkey FROM ({_TARGET}) t JOIN ({_OF}) o ON t.o_custkey = o.o_custkey)
+SELECT 1 AS version, repo AS repo_name, count(*) AS n FROM b GROUP BY repo UNION ALL SELECT 2, repo, count(*) FROM t GROUP BY repo UNION ALL SELECT 3, repo, count(*) FROM t WHERE repo <> 'KENYA' GROUP BY repo
+UNION ALL SELECT 4, repo, count(*) FROM t WHERE repo <> 'KENYA' AND (repo <> 'PERU' OR o_custkey % 3 = 0) GROUP BY repo
+""")
+def index_versions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """How many chunks each repository had in every version of the index."""
+    store = _index(spark, sf_dir)
+    counts = [store.read(v).groupBy("repo_name").agg(F.count("*").alias("n")).select(F.lit(v).alias("version"), "repo_name", "n") for v in range(1, store.version() + 1)]
+    out = counts[0]
+    for part in counts[1:]:
+        out = out.unionByName(part)
+    return out
