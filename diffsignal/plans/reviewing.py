@@ -16,6 +16,8 @@ from ..operators.ordered import first_of, rank_and_cap
 from ..operators.retrieval import nearest
 from ..operators.signals import explode_raw, finalise, normalise, parse_output
 from ..operators.snapshots import heritage_breaks, overlapping, reference_tier, signature_diff
+from ..operators.types import Types
+from ..scratch import written
 
 VALUE_CAP, TYPE_CAP = 5, 3
 CHUNK = ["file", "pos", "source_kind", "path", "symbols", "line_start", "line_end", "kind", "content", "truncated"]
@@ -49,20 +51,26 @@ def symbol_context(files: DataFrame, head: DataFrame, base: DataFrame) -> dict[s
     that a hunk touches and whose signature differs reach the reference scan.
     """
     hunks = files.select("path", F.explode("hunks").alias("h")).select("path", "h.start_line", "h.end_line")
-    both = head.withColumn("side", F.lit("head")).unionByName(base.withColumn("side", F.lit("base"))).filter(F.col("path").rlike(SOURCE))
-    changed = both.join(files.select("path").distinct(), "path", "left_semi")
-    declared = typescript.declarations(changed)
+    now, was = Types(head), Types(base)
+    source = F.col("path").rlike(SOURCE)
+    declared = lambda side, files_, types: types.declarations(typescript.declarations(files_.filter(source).join(files.select("path").distinct(), "path", "left_semi").withColumn("side", F.lit(side))))
     keys = ["path", "name", "kind"]
-    touched = overlapping(declared.filter("side = 'head'"), hunks).select(*keys, "start_line", "end_line").distinct()
-    triggered = signature_diff(touched, declared.filter("side = 'head'"), declared.filter("side = 'base'"), keys).select(*keys)
+    ours = written(declared("head", head, now), "declared")
+    touched = overlapping(ours, hunks).select(*keys, "start_line", "end_line").distinct()
+    triggered = written(signature_diff(touched, ours, declared("base", base, was), keys).select(*keys), "triggered")
 
     found = typescript.references(head, triggered)
-    shapes = typescript.shapes(both)
-    part = lambda side: shapes.filter(F.col("side") == side).join(triggered.select("path", F.col("name").alias("owner")), ["path", "owner"], "left_semi").select("owner", "member", "marker")
-    implementers = shapes.filter("side = 'head'").select(F.explode("bases").alias("base"), F.concat("path", F.lit("#"), "owner").alias("implementer"), "path", "member", "marker")
-    breaks = heritage_breaks(part("head"), part("base"), implementers.select(F.col("base").alias("owner"), "implementer", "member", "marker"))
-    breaks = breaks.select("owner", F.split("implementer", "#")[0].alias("path"), "kind", "member").groupBy("owner", "path").agg(F.array_sort(F.collect_set(F.struct("kind", "member"))).alias("breaks"))
-    found = found.join(breaks.withColumnRenamed("owner", "symbol"), ["symbol", "path"], "left").withColumnRenamed("kind", "use").filter("use <> 'heritage' OR size(breaks) > 0")
+    # members that a type gained or changed, against those that its heirs have, their own and inherited ones
+    key = lambda path, name: F.concat(path, F.lit("#"), name)
+    of = lambda types, roots: types.members(roots).select(key(F.col("path"), F.col("name")).alias("owner"), "member", "marker")
+    heirs = written(now.heirs(triggered), "heirs")
+    shapes = of(now, heirs.select(F.col("heir_path").alias("path"), F.col("heir").alias("name"))).withColumnRenamed("owner", "implementer")
+    # an heir without any member still lacks those of its base
+    pairs = heirs.select(key(F.col("path"), F.col("name")).alias("owner"), key(F.col("heir_path"), F.col("heir")).alias("implementer")).join(shapes, "implementer", "left").select("owner", "implementer", "member", "marker")
+    breaks = heritage_breaks(of(now, triggered), of(was, triggered), pairs)
+    breaks = breaks.select(F.substring_index("owner", "#", 1).alias("symbol_path"), F.substring_index("owner", "#", -1).alias("symbol"), F.substring_index("implementer", "#", 1).alias("path"), "kind", "member")
+    breaks = breaks.groupBy("symbol_path", "symbol", "path").agg(F.array_sort(F.collect_set(F.struct("kind", "member"))).alias("breaks"))
+    found = found.join(breaks, ["symbol_path", "symbol", "path"], "left").withColumnRenamed("kind", "use").filter("use <> 'heritage' OR size(breaks) > 0")
 
     paths = files.select("path").distinct().withColumn("in_change", F.lit(True))
     found = found.join(paths, "path", "left").withColumn("tier", reference_tier(F.col("path"), F.coalesce("in_change", F.lit(False)), F.col("symbol_path")))
