@@ -173,7 +173,7 @@ def _knn(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
 WITH r AS ({_PAIRS}) SELECT q_id, k AS rank, vec_id, round(d, 6) AS distance FROM (SELECT *, row_number() OVER (PARTITION BY q_id ORDER BY d, vec_id) AS k FROM r WHERE label <> q_label) WHERE k <= 5
 """)
 def knn_l2_prefilter(spark: SparkSession, sf_dir: str) -> DataFrame:
-    hits = retrieval.nearest(*_knn(spark, sf_dir), 5, F.col("label") != F.col("q_label"), "vec_id")
+    hits = retrieval.nearest(*_knn(spark, sf_dir), 5, tie="vec_id", differ=[("label", "q_label")])
     return hits.select("q_id", "rank", "vec_id", F.round("distance", 6).alias("distance"))
 
 
@@ -191,7 +191,7 @@ WITH r AS ({_PAIRS}) SELECT q_id, count(*) AS n, round(min(d), 6) AS min_distanc
 FROM (SELECT *, row_number() OVER (PARTITION BY q_id ORDER BY d, vec_id) AS k FROM r WHERE label <> q_label) WHERE k <= 12 GROUP BY q_id
 """)
 def nearest_distance_range(spark: SparkSession, sf_dir: str) -> DataFrame:
-    hits = retrieval.distance_range(retrieval.nearest(*_knn(spark, sf_dir), 12, F.col("label") != F.col("q_label"), "vec_id"))
+    hits = retrieval.distance_range(retrieval.nearest(*_knn(spark, sf_dir), 12, tie="vec_id", differ=[("label", "q_label")]))
     return hits.select("q_id", "n", F.round("min_distance", 6).alias("min_distance"), F.round("max_distance", 6).alias("max_distance"))
 
 
