@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import subprocess
 from collections.abc import Iterator
 from pathlib import PurePosixPath
 
@@ -12,6 +11,7 @@ from pyspark.sql import functions as F
 
 from ..functions.paths import is_indexable, relative_to
 from ..operators.chunking import binary_split
+from .git import GitTree, Objects, git
 
 
 def read_tree(spark: SparkSession, root: str, indexable_only: bool = True) -> tuple[DataFrame, DataFrame]:
@@ -27,26 +27,31 @@ def read_tree(spark: SparkSession, root: str, indexable_only: bool = True) -> tu
     return binary_split(files.filter(is_indexable("path")) if indexable_only else files)
 
 
-def _git(repo: str, *args: str) -> str:
-    return subprocess.run(["git", "-C", repo, *args], capture_output=True, check=True).stdout.decode("utf-8", "replace")
-
-
 def revision(spark: SparkSession, repo: str) -> DataFrame:
     """One row (commit_sha, default_branch) of a local repository."""
-    return spark.createDataFrame([(_git(repo, "rev-parse", "HEAD").strip(), _git(repo, "rev-parse", "--abbrev-ref", "HEAD").strip())], "commit_sha string, default_branch string")
+    return spark.createDataFrame([(git(repo, "rev-parse", "HEAD").strip(), git(repo, "rev-parse", "--abbrev-ref", "HEAD").strip())], "commit_sha string, default_branch string")
+
 
+def _tree(spark: SparkSession, repo: str, **options: str) -> DataFrame:
+    spark.dataSource.register(GitTree)
+    return spark.read.format("git_tree").options(path=repo, **options).load()
 
-def snapshot(spark: SparkSession, repo: str, ref: str = "HEAD", indexable_only: bool = True) -> DataFrame:
-    """(ref, path, oid) of the blobs of a commit's tree, from git's own listing."""
-    lines = [x.split("\t", 1) for x in _git(repo, "ls-tree", "-r", "-z", ref).split("\0") if x]
-    rows = [(ref, path, meta.split()[2]) for meta, path in lines if meta.split()[1] == "blob"]
-    df = spark.createDataFrame(rows, "ref string, path string, oid string")
+
+def snapshot(spark: SparkSession, repo: str, ref: str = "HEAD", indexable_only: bool = True, prefix: str = "") -> DataFrame:
+    """(ref, path, oid) of the blobs of a commit's tree, listed by subtrees in tasks."""
+    df = _tree(spark, repo, ref=ref, prefix=prefix).select("ref", "path", "oid")
     return df.filter(is_indexable("path")) if indexable_only else df
 
 
+def files_at(spark: SparkSession, repo: str, ref: str = "HEAD", indexable_only: bool = True, prefix: str = "") -> tuple[DataFrame, DataFrame]:
+    """(path, content) of the text files of a commit, and the binary ones, read where they are listed."""
+    df = _tree(spark, repo, ref=ref, prefix=prefix, content="true").select("path", "bytes")
+    return binary_split(df.filter(is_indexable("path")) if indexable_only else df)
+
+
 def tracked_files(spark: SparkSession, repo: str) -> DataFrame:
     """Paths that git tracks in the working tree, without those never indexed."""
-    return spark.createDataFrame([(p,) for p in _git(repo, "ls-files", "-z", "--cached").split("\0") if p], "path string").filter(is_indexable("path"))
+    return _tree(spark, repo, index="true").select("path").filter(is_indexable("path"))
 
 
 def tree_listing(lines: DataFrame, line: str = "value") -> DataFrame:
@@ -63,23 +68,13 @@ def read_blobs(rows: DataFrame, repo: str) -> DataFrame:
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        git = subprocess.Popen(["git", "-C", repo, "cat-file", "--batch"], stdin=subprocess.PIPE, stdout=subprocess.PIPE)
+        objects = Objects(repo)
         try:
             for batch in batches:
-                found = []
-                for oid in batch.column("oid").to_pylist():
-                    git.stdin.write(f"{oid}\n".encode())
-                    git.stdin.flush()
-                    head = git.stdout.readline().split()
-                    if head[-1:] == [b"missing"]:
-                        found.append(None)
-                        continue
-                    found.append(git.stdout.read(int(head[2])))
-                    git.stdout.read(1)
-                yield pa.RecordBatch.from_arrays([batch.column("path"), batch.column("oid"), pa.array(found, pa.binary())], names=["path", "oid", "bytes"])
+                found = pa.array(list(objects.read(batch.column("oid").to_pylist())), pa.binary())
+                yield pa.RecordBatch.from_arrays([batch.column("path"), batch.column("oid"), found], names=["path", "oid", "bytes"])
         finally:
-            git.stdin.close()
-            git.wait()
+            objects.close()
 
     return rows.select("path", "oid").mapInArrow(run, "path string, oid string, bytes binary")
 
