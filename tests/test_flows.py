@@ -1,7 +1,10 @@
 """Index maintenance, review, bench, configuration and streams from end to end."""
 
 import json
+import os
+import random
 import subprocess
+from datetime import UTC, datetime
 
 import pytest
 from pyspark.sql import functions as F
@@ -227,8 +230,28 @@ def test_delivery_stream(spark, tmp_path):
     assert deliveries.signed_by(b"k", b"body", "sha256=" + __import__("hmac").new(b"k", b"body", "sha256").hexdigest()) and not deliveries.signed_by(b"k", b"body", "sha256=0")
 
 
+def test_first_deliveries_equal_the_batch_form_in_any_order(spark, tmp_path):
+    rng = random.Random(4)
+    base, ttl = 1_700_000_000, 100
+    rows = [(str(rng.randrange(12)), base + rng.randrange(2000), f"u{i}") for i in range(240)]
+    # batches in order of time, shuffled by up to the delay within and between them
+    rows.sort(key=lambda r: r[1] + rng.randrange(60))
+    (tmp_path / "in").mkdir()
+    for i in range(0, 240, 40):
+        lines = [json.dumps({"delivery_id": d, "ts": datetime.fromtimestamp(t, UTC).isoformat(), "url": u}) for d, t, u in rows[i : i + 40]]
+        (tmp_path / f"in/{i:03d}.json").write_text("\n".join(rng.sample(lines, len(lines))))
+        os.utime(tmp_path / f"in/{i:03d}.json", (base + i, base + i))
+    (tmp_path / "in/999.json").write_text(json.dumps({"delivery_id": "end", "ts": datetime.fromtimestamp(base + 9000, UTC).isoformat(), "url": "e"}))
+    stream = spark.readStream.schema("delivery_id string, ts timestamp, url string").option("maxFilesPerTrigger", 1).json(str(tmp_path / "in"))
+    out = deliveries.first_deliveries(stream, ttl, "120 seconds")
+    out.writeStream.format("memory").queryName("first_rows").outputMode("append").option("checkpointLocation", str(tmp_path / "cp")).trigger(availableNow=True).start().awaitTermination(300)
+    got = sorted((r["delivery_id"], int(r["ts"].timestamp())) for r in spark.table("first_rows").collect())
+    batch = ordered.first_seen(spark.createDataFrame([(d, datetime.fromtimestamp(t, UTC)) for d, t, _ in rows], "delivery_id string, ts timestamp"), "delivery_id", "ts", ttl)
+    assert got == sorted((r["delivery_id"], int(r["ts"].timestamp())) for r in batch.collect()) and len(got) > 60
+    assert {r["url"] for r in spark.table("first_rows").collect()} <= {u for _, _, u in rows}
+
+
 def test_job_stream_equals_batch(spark, tmp_path):
-    pytest.importorskip("pandas")
     moves = [("j1", 1, "queued"), ("j1", 2, "running"), ("j1", 9, "completed"), ("j2", 3, "queued"), ("j2", 4, "completed"), ("j3", 5, "queued"), ("j3", 6, "running")]
     spark.createDataFrame(moves, "id string, moved_at long, state string").coalesce(1).write.json(str(tmp_path / "in"))
     stream = jobs.job_states(spark.readStream.schema("id string, moved_at long, state string").json(str(tmp_path / "in")))
