@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from . import folds
+
 
 def first_of(df: DataFrame, keys: list[str], order: list[Column]) -> DataFrame:
     """The first row of each key in ``order``; null keys are equal to each other."""
@@ -36,14 +38,12 @@ def fixed_batches(df: DataFrame, keys: list[str], order: list[Column], size: int
 def first_seen(df: DataFrame, key: str, ts: str, ttl_seconds: int) -> DataFrame:
     """(key, ts) of the deliveries that count: the first of a key, and the first later than its TTL from the one that counted last.
 
-    A repeat does not extend the TTL.  A key's times are folded in order; all
-    keys fold in parallel.
+    A repeat does not extend the TTL.  A key with any number of deliveries is
+    folded over several ranges of its times (see ``folds``).
     """
-    times = F.array_sort(F.collect_list(F.unix_micros(F.col(ts).cast("timestamp"))))
-    zero = F.struct(F.lit(None).cast("bigint").alias("at"), F.array().cast("array<bigint>").alias("kept"))
-    late = lambda s, x: s["at"].isNull() | (x - s["at"] > ttl_seconds * 1_000_000)
-    fold = F.aggregate("times", zero, lambda s, x: F.when(late(s, x), F.struct(x.alias("at"), F.array_append(s["kept"], x).alias("kept"))).otherwise(s), lambda s: s["kept"])
-    return df.groupBy(key).agg(times.alias("times")).select(key, F.explode(fold).alias("us")).select(key, F.timestamp_micros("us").alias(ts))
+    times = df.filter(F.col(ts).isNotNull()).select(key, F.unix_micros(F.col(ts).cast("timestamp")).alias("us")).distinct()
+    counted = folds.grouped(times, [key], ["us"], F.col("us"), folds.Spans(ttl_seconds * 1_000_000))
+    return counted.filter("begins").select(key, F.timestamp_micros("us").alias(ts))
 
 
 def trailing_sum(df: DataFrame, keys: list[str], ts: str, value: str, seconds: int, budget: int | None = None) -> DataFrame:

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import numbers, paths, targets, text
-from ..operators import chunking, context, ordered, retrieval
+from ..operators import chunking, context, folds, ordered, retrieval
 from .registry import Registry, table
 
 query = Registry()
@@ -320,6 +320,31 @@ def merge_small_chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
     return merged.select("list", F.explode(F.arrays_zip("m", "c")).alias("z")).select("list", F.col("z.m.doc_id").alias("doc_id"), F.col("z.c").alias("chunk"))
 
 
+# A source is one ordered list, whatever share of all documents it holds.
+@query("""
+WITH RECURSIVE s AS (SELECT doc_id, source, ceil(length(coalesce(text, '')) / 2)::BIGINT AS tokens, row_number() OVER (PARTITION BY source ORDER BY doc_id) AS k FROM documents),
+r AS (SELECT doc_id, source, k, tokens AS held, 1 AS n, 0 AS pack FROM s WHERE k = 1 UNION ALL
+ SELECT s.doc_id, s.source, s.k, CASE WHEN r.held + s.tokens > 3000 OR r.n >= 8 THEN s.tokens ELSE r.held + s.tokens END, CASE WHEN r.held + s.tokens > 3000 OR r.n >= 8 THEN 1 ELSE r.n + 1 END, CASE WHEN r.held + s.tokens > 3000 OR r.n >= 8 THEN r.pack + 1 ELSE r.pack END
+ FROM r JOIN s ON s.source IS NOT DISTINCT FROM r.source AND s.k = r.k + 1)
+SELECT source, doc_id, pack::BIGINT AS pack FROM r
+""")
+def greedy_pack_by_source(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = files(spark, sf_dir).select("source", "doc_id", numbers.estimated_tokens(F.coalesce("content", F.lit(""))).alias("tokens"))
+    return folds.grouped(rows, ["source"], ["doc_id"], F.col("tokens"), folds.Packs(3000, 8)).select("source", "doc_id", F.col("group").alias("pack"))
+
+
+@query("""
+WITH RECURSIVE s AS (SELECT doc_id, source, length(coalesce(text, '')) AS size, row_number() OVER (PARTITION BY source ORDER BY doc_id) AS k FROM documents),
+r AS (SELECT doc_id, source, k, size AS held, 0 AS chunk FROM s WHERE k = 1 UNION ALL
+ SELECT s.doc_id, s.source, s.k, CASE WHEN (r.held < 1500 OR s.size < 200) AND r.held + s.size <= 2000 THEN r.held + s.size ELSE s.size END, CASE WHEN (r.held < 1500 OR s.size < 200) AND r.held + s.size <= 2000 THEN r.chunk ELSE r.chunk + 1 END
+ FROM r JOIN s ON s.source IS NOT DISTINCT FROM r.source AND s.k = r.k + 1)
+SELECT source, doc_id, chunk::BIGINT AS chunk FROM r
+""")
+def merge_small_by_source(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = files(spark, sf_dir).select("source", "doc_id", F.length(F.coalesce("content", F.lit(""))).alias("size"))
+    return folds.grouped(rows, ["source"], ["doc_id"], F.col("size"), folds.Merges(200, 1500, 2000)).select("source", "doc_id", F.col("group").alias("chunk"))
+
+
 @query("""
 SELECT source, batch, count(*) AS n, min(doc_id) AS first FROM (SELECT source, doc_id, (row_number() OVER (PARTITION BY source, doc_id // 1000 ORDER BY doc_id) - 1) // 32 + (doc_id // 1000) * 32 AS batch FROM documents) GROUP BY source, batch
 """)
