@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from ..models import LIMIT_TOLD, WAIT_TOLD
+
 TRUNCATED = "\n// [truncated]"
 # Titles of the context sections, in their order.
 SECTIONS = {"references": "### Direct callers of changed symbols", "type-references": "### Type-shape dependents of changed symbols", "rag": "### Similar code"}
@@ -118,7 +120,7 @@ def inline_code(text: Column) -> Column:
 def rate_limit_hint(message: Column) -> Column:
     """struct(limit, retry_seconds) told by a provider's rate-limit message; what is not told is null."""
     number = lambda p: F.nullif(F.regexp_extract(message, p, 1), F.lit("")).try_cast("double")
-    return F.struct(number(r"Limit[: ]+(\d+)").cast("long").alias("limit"), number(r"try again in ([\d.]+)s").alias("retry_seconds"))
+    return F.struct(number(LIMIT_TOLD).cast("long").alias("limit"), number(WAIT_TOLD).alias("retry_seconds"))
 
 
 def file_stamp(iso: Column) -> Column:

@@ -8,19 +8,21 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.text import file_stamp
-from ..models import Model, answer
+from ..models import Model, answer, with_timeout
 from ..operators import metrics
 from ..operators.signals import parse_output
 
 
-def run(scenarios: DataFrame, models: dict[str, Model], runs: int = 3, timeout_ms: int = 60_000) -> DataFrame:
-    """(scenario, model, run, duration_ms, outcome, n_signals, files, tokens) of every scenario (scenario, prompt) with every model."""
+def run(scenarios: DataFrame, models: dict[str, Model], runs: int = 3, timeout_ms: int = 60_000, threads: int = 1) -> DataFrame:
+    """(scenario, model, run, duration_ms, outcome, n_signals, files, tokens) of every scenario (scenario, prompt) with every model.
+
+    A call ends after ``timeout_ms``, answered or not.
+    """
     out = None
     for name, model in models.items():
         asked = scenarios.withColumn("model", F.lit(name)).withColumn("run", F.explode(F.sequence(F.lit(1), F.lit(runs))))
-        got = parse_output(answer(asked, model).withColumnsRenamed({"outcome": "asked", "error": "failed"}))
-        late = F.col("duration_ms") > timeout_ms
-        got = got.withColumn("outcome", F.when(late, "timeout").when(F.col("asked") == "failure", "failure").otherwise(F.col("outcome")))
+        got = parse_output(answer(asked, with_timeout(model, timeout_ms / 1000), threads=threads).withColumnsRenamed({"outcome": "asked", "error": "failed"}))
+        got = got.withColumn("outcome", F.when(F.col("asked") != "success", F.col("asked")).otherwise(F.col("outcome")))
         files = F.transform("raw", lambda s: s["file"])
         got = got.select("scenario", "model", "run", "duration_ms", "outcome", F.when(F.col("raw").isNotNull(), F.size("raw")).otherwise(0).alias("n_signals"), F.coalesce(files, F.array().cast("array<string>")).alias("files"), "prompt_tokens", "completion_tokens", "total_tokens")
         out = got if out is None else out.unionByName(got)

@@ -1,5 +1,6 @@
 """Index maintenance, review, bench, configuration and streams from end to end."""
 
+import itertools
 import json
 import os
 import random
@@ -273,3 +274,58 @@ def test_commit_stream_and_upsert_sink(spark, tmp_path):
     start = refresh.upsert_sink(str(tmp_path / "c2"), lambda: held[0], lambda df: held.__setitem__(0, spark.createDataFrame(df.collect(), df.schema)), ["provider", "name"])
     start(read()).awaitTermination(120)
     assert [r["commit_sha"] for r in held[0].collect()] == ["c2"]
+
+
+class Hanging:
+    def __init__(self):
+        self.cancelled = 0
+
+    def generate(self, prompt):
+        if "hang" in prompt:
+            __import__("time").sleep(600)
+        return models.Reply(prompt)
+
+    def cancel(self):
+        self.cancelled += 1
+
+
+def test_a_hanging_model_ends_within_its_limit(spark):
+    began, hanging = __import__("time").monotonic(), Hanging()
+    with pytest.raises(TimeoutError):
+        models.with_timeout(hanging, 0.2).generate("hang")
+    assert hanging.cancelled == 1 and models.with_timeout(hanging, 5).generate("a").text == "a"
+    prompts = spark.createDataFrame([(i, "hang" if i % 3 == 0 else f"p{i}") for i in range(12)], "i int, prompt string").coalesce(1)
+    rows = models.answer(prompts, models.with_timeout(Hanging(), 1), threads=4).collect()
+    assert [(r["i"], r["outcome"]) for r in rows] == [(i, "timeout" if i % 3 == 0 else "success") for i in range(12)]
+    assert __import__("time").monotonic() - began < 60
+
+
+class Strict:
+    """Refuses inputs above 300 characters, and its second request for its rate."""
+
+    dimension, max_chars = 2, 3000
+
+    def __init__(self):
+        self.asked = []
+
+    def embed(self, texts):
+        self.asked.append([len(t) for t in texts])
+        if len(self.asked) == 2:
+            raise models.RateLimited("Rate limit reached. Limit: 1000, try again in 1.5s")
+        if any(len(t) > 300 for t in texts):
+            raise models.TooLong("input length exceeds")
+        return [[float(len(t)), 0.0] for t in texts]
+
+
+def test_embedders_learn_limits_and_shorten_inputs(spark):
+    now, pauses = [0.0], []
+    strict = Strict()
+    paced = models.Paced(strict, 10_000, clock=lambda: now[0], sleep=lambda s: (pauses.append(s), now.__setitem__(0, now[0] + s)))
+    assert paced.embed(["a" * 100]) == [[100.0, 0.0]] and paced.budget.budget == 10_000
+    assert paced.embed(["b" * 200] * 2) == [[200.0, 0.0]] * 2 and paced.budget.budget == 900 and 1.5 in pauses
+    assert paced.embed(["c" * 100, "d" * 900, "e" * 50]) == [[100.0, 0.0], [256.0, 0.0], [50.0, 0.0]]
+    assert max(pauses) > 30, "the learned budget held later requests back"
+    with pytest.raises(models.TooLong):
+        models.Paced(Strict(), least_chars=400, sleep=lambda _s: None).embed(["f" * 1000])
+    rows = models.embed(spark.createDataFrame([("x" * 500,), ("y",)], "content string").coalesce(1), Strict(), paced=lambda e: models.Paced(e, clock=itertools.count(0, 100).__next__, sleep=lambda _s: None)).collect()
+    assert [r["embedding"][0] for r in rows] == [256.0, 1.0]
