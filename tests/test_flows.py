@@ -326,6 +326,6 @@ def test_embedders_learn_limits_and_shorten_inputs(spark):
     assert paced.embed(["c" * 100, "d" * 900, "e" * 50]) == [[100.0, 0.0], [256.0, 0.0], [50.0, 0.0]]
     assert max(pauses) > 30, "the learned budget held later requests back"
     with pytest.raises(models.TooLong):
-        models.Paced(Strict(), least_chars=400, sleep=lambda _s: None).embed(["f" * 1000])
+        models.Paced(Strict(), least_chars=400, clock=itertools.count(0, 100).__next__, sleep=lambda _s: None).embed(["f" * 1000])
     rows = models.embed(spark.createDataFrame([("x" * 500,), ("y",)], "content string").coalesce(1), Strict(), paced=lambda e: models.Paced(e, clock=itertools.count(0, 100).__next__, sleep=lambda _s: None)).collect()
     assert [r["embedding"][0] for r in rows] == [256.0, 1.0]
