@@ -3,15 +3,17 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from contextlib import contextmanager
 from dataclasses import dataclass, field, replace
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
 from ..models import Embedder, embed
 from ..operators.chunking import build_chunks
 from ..operators.snapshots import indexable, paths_to_delete, paths_to_read, snapshot_diff
 from ..store.chunks import ATTEMPTS, ChunkStore, MetadataStore
+from ..store.events import EventLog
 from ..store.log import Conflict
 
 
@@ -71,7 +73,7 @@ def rows_for(files: DataFrame, provider: str, name: str, ref: str, embedder: Emb
 
 def refresh(
     spark: SparkSession, store: ChunkStore, metadata: MetadataStore, provider: str, name: str, commit: str, files: DataFrame, base: DataFrame | Callable[[str], DataFrame] | None, target: DataFrame,
-    embedder: Embedder, fingerprint: Fingerprint, force: bool = False, dry_run: bool = False, size: int = 1000, overlap: int = 200, branch: str | None = None,
+    embedder: Embedder, fingerprint: Fingerprint, force: bool = False, dry_run: bool = False, size: int = 1000, overlap: int = 200, branch: str | None = None, events: EventLog | None = None,
 ) -> Plan:
     """Bring one repository's index to ``commit``; a dry run plans and writes nothing.
 
@@ -81,8 +83,28 @@ def refresh(
     visible together, or, if the job stops anywhere, not at all.  Where another
     writer brought this repository on meanwhile, the plan is made again from
     what is there now; with a fixed ``base``, which then is no longer the base
-    of anything, Conflict is raised.
+    of anything, Conflict is raised.  ``events`` gets the steps with their counts.
     """
+    log = events or _Silent()
+    with log.task("workflow.index", repository=f"{provider}/{name}", commit=commit):
+        return _refresh(spark, store, metadata, provider, name, commit, files, base, target, embedder, fingerprint, force, dry_run, size, overlap, branch, log)
+
+
+class _Silent:
+    """A log that keeps nothing."""
+
+    def emit(self, event: str, **fields: object) -> None:
+        pass
+
+    @contextmanager
+    def task(self, name: str, **fields: object):
+        yield self
+
+
+def _refresh(
+    spark: SparkSession, store: ChunkStore, metadata: MetadataStore, provider: str, name: str, commit: str, files: DataFrame, base: DataFrame | Callable[[str], DataFrame] | None, target: DataFrame,
+    embedder: Embedder, fingerprint: Fingerprint, force: bool, dry_run: bool, size: int, overlap: int, branch: str | None, log: EventLog | _Silent,
+) -> Plan:
     if store.log.root != metadata.log.root:
         raise ValueError("chunks and metadata of one index share a root, so that one commit holds both")
     kept = indexable(files.select("path", "content"))
@@ -92,11 +114,17 @@ def refresh(
         held = metadata.load(provider, name, version)
         plan = plan_index(held.asDict() if held else None, fingerprint, commit, force)
         if plan.kind == "incompatible":
+            log.emit("workflow.index.rebuild.required", reason=plan.reason)
             return plan
         if plan.kind == "incremental":
             before = base(held["commit_sha"]) if callable(base) else base
             plan = execution_plan(plan, before if before is not None else spark.createDataFrame([], "path string, oid string"), target)
+        log.emit("workflow.index.plan.computed", plan=plan.kind, attempt=attempt)
+        if plan.kind in ("incremental", "delete-only"):
+            log.emit("workflow.index.files.changed", n=plan.changed.count())
+            log.emit("workflow.index.files.deleted", n=plan.stale.join(plan.changed, "path", "left_anti").count())
         if dry_run:
+            log.emit("workflow.index.dry_run")
             return plan
         row = [(provider, name, commit, fingerprint.embedding_provider, fingerprint.embedding_model, fingerprint.embedding_dimension, fingerprint.chunk_strategy, fingerprint.chunk_version, "1", branch)]
         saved = spark.createDataFrame(row, "repository_provider string, repository_id string, commit_sha string, embedding_provider string, embedding_model string, embedding_dimension int, chunk_strategy string, chunk_version int, engine_version string, default_branch string")
@@ -108,8 +136,12 @@ def refresh(
             does["gone"] = plan.stale.withColumns({"repo_provider": F.lit(provider), "repo_name": F.lit(name)})
             if plan.kind == "incremental":
                 does["added"] = make(kept.join(plan.changed, "path", "left_semi"))
+        seen = Observation()
         try:
-            store.log.publish(store.change(version, **does))
+            change = store.change(version, **does, observed=seen)
+            if "added" in does:
+                log.emit("context.chunks.built", count=seen.get["chunks"])
+            log.emit("workflow.index.published", version=store.log.publish(change))
             return plan
         except Conflict:
             if attempt + 1 == ATTEMPTS or not (callable(base) or base is None):

@@ -75,3 +75,27 @@ def get_with_retry(get: Callable[[str], tuple[int, str]], url: str, sleep: Calla
             raise OSError(f"{status} from {url}")
         sleep(BACKOFF_MS * 2**i / 1000)
     raise AssertionError
+
+
+def paged(keys: DataFrame, get: Callable[[str, int], tuple[int, str]], size: int = 50, pages: int = 5, sleep: Callable[[float], None] = time.sleep) -> DataFrame:
+    """(key, page, position, payload) of the items of each key's JSON pages, for ``keys`` (key); ``get(key, page)`` gives status and body.
+
+    Pages are asked for from 1 on until one is not full or ``pages`` are read.
+    A page that fails for a while is tried again alone; pages before it are not.
+    """
+    import json
+    from collections.abc import Iterator
+
+    import pyarrow as pa
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for key in batch.column("key").to_pylist():
+                for page in range(1, pages + 1):
+                    items = json.loads(get_with_retry(lambda _url, k=key, p=page: get(k, p), f"{key}, page {page}", sleep))
+                    n = len(items)
+                    yield pa.RecordBatch.from_arrays([pa.array([key] * n, pa.string()), pa.array([page] * n, pa.int32()), pa.array(range(n), pa.int32()), pa.array([json.dumps(i) for i in items], pa.string())], names=["key", "page", "position", "payload"])
+                    if n < size:
+                        break
+
+    return keys.select(F.col("key").cast("string").alias("key")).filter("key IS NOT NULL").mapInArrow(run, "key string, page int, position int, payload string")

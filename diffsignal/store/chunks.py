@@ -11,7 +11,7 @@ from __future__ import annotations
 import uuid
 from collections.abc import Callable
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
 from ..schemas import METADATA, STORED_CHUNK
@@ -75,12 +75,13 @@ class ChunkStore:
             return read.parquet(*[f"{data}/commit={r['commit']}/dim={r['dim']}/repo={r['repo']}/slice={r['slice']}" for r in named]).select(*_COLUMNS)
         return read.parquet(data).join(live.select("commit", "repo", "dim", "slice"), ["commit", "repo", "dim", "slice"], "left_semi").select(*_COLUMNS)
 
-    def change(self, version: int, gone: DataFrame | None = None, added: DataFrame | None = None, dropped: DataFrame | None = None, metadata: DataFrame | None = None):
+    def change(self, version: int, gone: DataFrame | None = None, added: DataFrame | None = None, dropped: DataFrame | None = None, metadata: DataFrame | None = None, observed: Observation | None = None):
         """Write a change of version ``version`` and prepare its commit, for any number of repositories at once.
 
         gone: (repo_provider, repo_name, path) whose chunks go; added: chunks;
         dropped: (repo_provider, repo_name) all of whose chunks go first;
-        metadata: rows to save, or with ``gone`` true to delete.
+        metadata: rows to save, or with ``gone`` true to delete; observed: gets
+        ``chunks``, the number of rows added, from the job that writes them.
         """
         commit = uuid.uuid4().hex
         live = self.log.live(version)
@@ -97,7 +98,9 @@ class ChunkStore:
             return self.log.prepare(version, commit, removed, metadata)
         rows = self._rows(old)
         rows = kept_after_delete(rows, gone, [*REPOSITORY, "path"]) if gone is not None else rows
-        rows = rows.unionByName(added.select(*_COLUMNS)) if added is not None else rows
+        if added is not None:
+            more = added.select(*_COLUMNS)
+            rows = rows.unionByName(more.observe(observed, F.count(F.lit(1)).alias("chunks")) if observed else more)
         path = f"{self.log.root}/data/commit={commit}"
         # a slice is written by one task, or by more where it is large
         _keyed(rows).hint("rebalance", "dim", "repo", "slice").write.partitionBy("dim", "repo", "slice").parquet(path)

@@ -23,6 +23,11 @@ def signed_by(secret: bytes, body: bytes, signature: str) -> bool:
     return hmac.compare_digest("sha256=" + hmac.new(secret, body, hashlib.sha256).hexdigest(), signature)
 
 
+def token_matches(secret: str, token: str | None) -> bool:
+    """Whether a delivery's plain token, as one host sends it, is the secret; compared in constant time."""
+    return hmac.compare_digest(secret.encode(), (token or "").encode())
+
+
 def read_deliveries(spark: SparkSession, path: str, files_per_trigger: int = 100) -> DataFrame:
     """The stream of deliveries that landed as JSON files below ``path``."""
     return spark.readStream.schema(DELIVERY).option("maxFilesPerTrigger", files_per_trigger).json(path)
