@@ -15,7 +15,7 @@ from pyspark.sql import Column, DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
 from ..schemas import METADATA, STORED_CHUNK
-from .log import ACTION, CommitLog, Conflict, repo_key
+from .log import ACTION, CommitLog, Conflict, Prepared, repo_key
 
 REPOSITORY = ["repo_provider", "repo_name"]
 #: Parts of a repository, by path; fixed for a table's life.
@@ -75,16 +75,29 @@ class ChunkStore:
             return read.parquet(*[f"{data}/commit={r['commit']}/dim={r['dim']}/repo={r['repo']}/slice={r['slice']}" for r in named]).select(*_COLUMNS)
         return read.parquet(data).join(live.select("commit", "repo", "dim", "slice"), ["commit", "repo", "dim", "slice"], "left_semi").select(*_COLUMNS)
 
-    def change(self, version: int, gone: DataFrame | None = None, added: DataFrame | None = None, dropped: DataFrame | None = None, metadata: DataFrame | None = None, observed: Observation | None = None):
+    def change(self, version: int, gone: DataFrame | None = None, added: DataFrame | None = None, dropped: DataFrame | None = None, metadata: DataFrame | None = None, observed: Observation | None = None) -> Prepared:
         """Write a change of version ``version`` and prepare its commit, for any number of repositories at once.
 
         gone: (repo_provider, repo_name, path) whose chunks go; added: chunks;
         dropped: (repo_provider, repo_name) all of whose chunks go first;
         metadata: rows to save, or with ``gone`` true to delete; observed: gets
         ``chunks``, the number of rows added, from the job that writes them.
+        ``added`` is run once, whatever it asks of models, and written to a draft.
         """
         commit = uuid.uuid4().hex
-        live = self.log.live(version)
+        draft = f"{self.log.root}/drafts/{commit}"
+        live = self.log.live(version).cache()
+        try:
+            if added is not None:
+                more = added.select(*_COLUMNS)
+                (more.observe(observed, F.count(F.lit(1)).alias("chunks")) if observed else more).write.parquet(draft)
+                added = self.spark.read.schema(STORED_CHUNK).parquet(draft)
+            return self._prepared(version, commit, live, gone, added, dropped, metadata)
+        finally:
+            live.unpersist()
+            self.log.files.drop(f"drafts/{commit}")
+
+    def _prepared(self, version: int, commit: str, live: DataFrame, gone: DataFrame | None, added: DataFrame | None, dropped: DataFrame | None, metadata: DataFrame | None) -> Prepared:
         parts = [_keyed(df).select("repo", "slice") for df in (gone, added) if df is not None]
         touched = parts[0].union(parts[1]) if len(parts) > 1 else parts[0] if parts else self.spark.createDataFrame([], "repo string, slice int")
         old = live.join(touched.distinct(), ["repo", "slice"], "left_semi")
@@ -98,9 +111,7 @@ class ChunkStore:
             return self.log.prepare(version, commit, removed, metadata)
         rows = self._rows(old)
         rows = kept_after_delete(rows, gone, [*REPOSITORY, "path"]) if gone is not None else rows
-        if added is not None:
-            more = added.select(*_COLUMNS)
-            rows = rows.unionByName(more.observe(observed, F.count(F.lit(1)).alias("chunks")) if observed else more)
+        rows = rows.unionByName(added) if added is not None else rows
         path = f"{self.log.root}/data/commit={commit}"
         # a slice is written by one task, or by more where it is large
         _keyed(rows).hint("rebalance", "dim", "repo", "slice").write.partitionBy("dim", "repo", "slice").parquet(path)

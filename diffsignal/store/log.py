@@ -5,6 +5,7 @@ Below the root lie
 - ``data/commit=C/dim=D/repo=R/slice=S``: chunk files that commit C wrote;
 - ``actions/C``: the partitions (repo, dim, slice) that C replaced or removed;
 - ``metadata/C``: the metadata rows that C saved or deleted;
+- ``drafts``: what a writer needs until it is done;
 - ``log/N``: names the commit of version N.  It is put there only if no other
   writer has put that number: this one step makes C visible;
 - ``checkpoints/N``: the live partitions and metadata as of version N.
@@ -221,6 +222,9 @@ class CommitLog:
             for commit, changed in self.files.names(kind).items():
                 if changed < before and commit not in pending and commit not in kept:
                     self.files.drop(f"{kind}/{commit}")
+        for name, changed in self.files.names("drafts").items():
+            if changed < before:
+                self.files.drop(f"drafts/{name}")
         for name in self.files.names("log"):
             if int(name.split(".")[0]) < oldest:
                 self.files.drop(f"log/{name}")

@@ -195,3 +195,25 @@ def test_put_is_once(spark, root):
     files = commits.Files(spark, root)
     assert files.put("log/1", "a") and not files.put("log/1", "b")
     assert open(f"{root[7:]}/log/1").read() == "a" and files.names("drafts") == {}
+
+
+class Counting(models.HashEmbedder):
+    """Notes every text that it is asked for."""
+
+    def __init__(self, folder):
+        super().__init__(4)
+        object.__setattr__(self, "folder", folder)
+
+    def embed(self, texts):
+        import uuid
+
+        for _ in texts:
+            open(f"{self.folder}/{uuid.uuid4().hex}", "w").close()
+        return super().embed(texts)
+
+
+def test_texts_are_embedded_once(spark, root, tmp_path):
+    (tmp_path / "asked").mkdir()
+    store = ChunkStore(spark, root)
+    store.insert(indexing.rows_for(trees(spark, ONE)[0], "local", "r", "x", Counting(str(tmp_path / "asked"))))
+    assert len(os.listdir(tmp_path / "asked")) == len(ONE) and store.log.files.names("drafts") == {}
