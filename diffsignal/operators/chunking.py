@@ -12,16 +12,19 @@ from ..functions.text import chunk_id
 def char_chunks(files: DataFrame, size: int = 1000, overlap: int = 200, content: str = "content") -> DataFrame:
     """``files`` with (ord, content) of each window of ``size`` characters; an empty or null text has none.
 
-    The number of windows has a closed form; the windows are cut as an array
-    in the row, so that no copy of the whole text is carried by each.
+    The text is split once into runs of one step; a window joins the few runs
+    that it spans, so the work grows with the text and not with its square.
     """
     if overlap >= size:
         raise ValueError("overlap must be smaller than size")
     length, step = F.length(content), size - overlap
     n = F.when(length <= size, 1).otherwise(1 + F.ceil((length - size) / step)).cast("int")
-    cut = F.transform(F.sequence(F.lit(0), n - 1), lambda i: F.substring(F.col(content), i * step + 1, F.lit(size)))
+    runs = F.regexp_extract_all(F.col(content), F.lit(rf"(?s).{{1,{step}}}"), F.lit(0))
+    spanned = F.lit(-(-size // step))
+    cut = F.transform(F.sequence(F.lit(0), n - 1), lambda i: F.substring(F.array_join(F.slice("__runs", i + 1, spanned), ""), 1, size))
     rest = [F.col(f"`{c}`") for c in files.columns if c != content]
-    return files.filter(F.length(content) > 0).select(*rest, F.posexplode(cut).alias("ord", content)).select(*[F.col(f"`{c}`") for c in files.columns], "ord")
+    rows = files.filter(F.length(content) > 0).withColumn("__runs", runs)
+    return rows.select(*rest, F.posexplode(cut).alias("ord", content)).select(*[F.col(f"`{c}`") for c in files.columns], "ord")
 
 
 def line_chunks(files: DataFrame, lines: int = 120, size: int = 8000, content: str = "content") -> DataFrame:

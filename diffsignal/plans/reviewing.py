@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame, Row, Window
 from pyspark.sql import functions as F
 
 from ..functions.text import break_notes, chunk_id, embedding_query, review_prompt, type_note
@@ -18,6 +18,7 @@ from ..operators.signals import explode_raw, finalise, normalise, parse_output
 from ..operators.snapshots import heritage_breaks, overlapping, reference_tier, signature_diff
 from ..operators.types import Types
 from ..scratch import written
+from ..store.events import EventLog
 
 VALUE_CAP, TYPE_CAP = 5, 3
 CHUNK = ["file", "pos", "source_kind", "path", "symbols", "line_start", "line_end", "kind", "content", "truncated"]
@@ -30,19 +31,41 @@ class Review:
     prompts: DataFrame
 
 
-def rag_context(files: DataFrame, chunks: DataFrame, embedder: Embedder, provider: str, name: str, k: int = 8, title: str | None = None) -> DataFrame:
-    """Chunks of the same repository nearest to each changed file, none of a path under review.
+def rag_context(files: DataFrame, chunks: DataFrame, embedder: Embedder, provider: str, name: str, k: int = 8, title: str | None = None, ref: str | None = None) -> DataFrame:
+    """Chunks of the same repository, and of one ``ref`` if it is given, nearest to each changed file, none of a path under review.
 
     files: (path, patch, hunks); chunks: the store's rows.
     """
     text = embedding_query(F.col("path"), F.col("patch"), F.col("hunks"), F.lit(title).cast("string"))
     queries = embed(files.select(F.col("path").alias("q_id"), text.alias("content")), embedder).select("q_id", F.col("embedding").alias("q_embedding"))
     own = chunks.filter((F.col("repo_provider") == provider) & (F.col("repo_name") == name) & (F.col("dim") == embedder.dimension))
+    own = own.filter(F.col("repo_ref") == ref) if ref is not None else own
     own = own.join(files.select("path").distinct(), "path", "left_anti").select("id", "path", "kind", "content", "line_start", "line_end", "symbols", "embedding")
     hits = nearest(own, queries, k)
     return hits.select(F.col("q_id").alias("file"), F.col("rank").alias("pos"), F.lit("file").alias("source_kind"), "path", "symbols", "line_start", "line_end", "kind", "content", F.lit(None).cast(_MARKER).alias("truncated"))
 
 
+def index_available(stored: Row | None, provider: str, model: str, revision: str, events: EventLog | None = None) -> bool:
+    """Whether a repository's index (its metadata row) can be searched with these embeddings; one of another commit still can, and is told of."""
+    if stored is None:
+        if events:
+            events.emit("workflow.review.context_unavailable")
+        return False
+    fits = (stored["embedding_provider"], stored["embedding_model"]) == (provider, model)
+    if events and (not fits or stored["commit_sha"] != revision):
+        events.emit("workflow.review.index_outdated", indexed=stored["commit_sha"], current=revision)
+    return fits
+
+
+def symbols_available(files: DataFrame, head: DataFrame, base_sha: str | None) -> bool:
+    """Whether a change may alter exported symbols: its base is known, the root has a ``tsconfig.json``, and a hunk meets an exported declaration of a TypeScript source."""
+    if not base_sha or base_sha == "unknown" or head.filter("path = 'tsconfig.json'").isEmpty():
+        return False
+    hunks = files.select("path", F.explode("hunks").alias("h")).select("path", "h.start_line", "h.end_line").filter(F.col("path").rlike(SOURCE))
+    touched = head.join(hunks.select("path").distinct(), "path", "left_semi").withColumn("side", F.lit("head"))
+    return not overlapping(typescript.declarations(touched), hunks).isEmpty()
+
+
 def symbol_context(files: DataFrame, head: DataFrame, base: DataFrame) -> dict[str, DataFrame]:
     """Direct users and type dependents of the exported symbols whose shape a change alters.
 
