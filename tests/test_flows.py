@@ -270,6 +270,17 @@ def test_commit_stream_and_upsert_sink(spark, tmp_path):
     seen = []
     refresh.follow(read(), str(tmp_path / "c1"), lambda *a: seen.append(a)).awaitTermination(120)
     assert seen == [("local", "r", "c2")]
+    (tmp_path / "in/b.json").write_text("\n".join(json.dumps({"ts": "2024-01-01T00:02:00Z", "provider": "local", "name": f"n{i}", "commit_sha": "c"}) for i in range(20)))
+
+    def half(_provider, name, _commit):
+        seen.append(name)
+        if name == "n3":
+            raise ValueError("refused")
+
+    with pytest.raises(Exception, match="refused"):
+        refresh.follow(read(), str(tmp_path / "c1"), half).awaitTermination(120)
+    assert set(seen[1:]) == {f"n{i}" for i in range(20)}, "one failure stops no other repository"
+    (tmp_path / "in/b.json").unlink()
     held = [spark.createDataFrame([], "ts timestamp, provider string, name string, commit_sha string")]
     start = refresh.upsert_sink(str(tmp_path / "c2"), lambda: held[0], lambda df: held.__setitem__(0, spark.createDataFrame(df.collect(), df.schema)), ["provider", "name"])
     start(read()).awaitTermination(120)
