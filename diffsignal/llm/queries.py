@@ -14,7 +14,7 @@ from .licenses import license_digest
 from .line_dedup import drop_recurring_lines
 from .near_duplicates import near_duplicates
 from .packing import pack
-from .passages import near_passages
+from .passages import repeated_stretches
 from .quality import quality
 from .resampling import resample
 from .sharding import hilbert_shards
@@ -55,7 +55,7 @@ def op7_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op8_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return near_passages(table(spark, sf_dir, "documents"), min_words=50, percent=75)
+    return repeated_stretches(table(spark, sf_dir, "documents"), min_words=50, percent=75)
 
 
 def op9_packing(spark: SparkSession, sf_dir: str) -> DataFrame:

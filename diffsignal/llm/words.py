@@ -109,15 +109,15 @@ def text_bytes(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return np.frombuffer(data, np.uint8)[bounds[0] : bounds[-1]], bounds - bounds[0]
 
 
-def slices(batches: Iterator[pa.RecordBatch], column: str = "text") -> Iterator[tuple[pa.RecordBatch, np.ndarray, np.ndarray]]:
-    """Batches cut to about SLICE_BYTES of text, with the bytes and bounds of ``column``; a longer text comes alone and whole."""
+def slices(batches: Iterator[pa.RecordBatch], column: str = "text", size: int = SLICE_BYTES) -> Iterator[tuple[pa.RecordBatch, np.ndarray, np.ndarray]]:
+    """Batches cut to about ``size`` bytes of text, with the bytes and bounds of ``column``; a longer text comes alone and whole."""
     for batch in batches:
         if not batch.num_rows:
             continue
         data, bounds = text_bytes(batch.column(column))
         a = 0
         while a < batch.num_rows:
-            b = max(a + 1, int(np.searchsorted(bounds, bounds[a] + SLICE_BYTES, "right")) - 1)
+            b = max(a + 1, int(np.searchsorted(bounds, bounds[a] + size, "right")) - 1)
             b = min(b, batch.num_rows)
             yield batch.slice(a, b - a), data[bounds[a] : bounds[b]], bounds[a : b + 1] - bounds[a]
             a = b

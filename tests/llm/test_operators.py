@@ -19,7 +19,7 @@ from diffsignal.llm.licenses import license_digest
 from diffsignal.llm.line_dedup import drop_recurring_lines
 from diffsignal.llm.near_duplicates import near_duplicates
 from diffsignal.llm.packing import pack
-from diffsignal.llm.passages import near_passages
+from diffsignal.llm.passages import near_passages, repeated_stretches
 from diffsignal.llm.quality import keep_good, quality
 from diffsignal.llm.sharding import hilbert_index, hilbert_shards, write_shards
 from diffsignal.llm.token_counts import count_tokens, token_counts
@@ -557,3 +557,31 @@ def test_deep_nesting_is_linear():
 
     began = time.perf_counter()
     assert len(blocks("<div>x" * 40_000)) == 40_000 and time.perf_counter() - began < 10
+
+
+def test_groups_are_told_by_membership(spark):
+    """Pairs of exact repeats, near each other and around a hub, are one component; a long crowd has a row a member."""
+    own = random.Random(8)
+    word = lambda: f"g{own.randrange(10**6)}"
+    pad = lambda: [word() for _ in range(own.randint(0, 30))]
+    texts, exact = [], []
+    for _ in range(12):
+        base = [word() for _ in range(own.randint(70, 120))]
+        other = [*base[:20], "changed", *base[21:45], "again", *base[46:]]
+        for v in (base, other):
+            exact.append((len(texts), len(texts) + 1))
+            texts += [" ".join(pad() + v + pad()) for _ in range(2)]
+        texts.append(" ".join(pad() + base[10:48] + pad()))
+    crowd = len(texts)
+    base = [word() for _ in range(90)]
+    texts += [" ".join([*base[:k], word(), *base[k + 1 :]]) for k in own.choices(range(90), k=60)]
+    rows = repeated_stretches(table(spark, texts)).collect()
+    named = {(r["doc_id"]): (r["component_id"], r["component_word"]) for r in rows}
+    assert len({(r["doc_id"], r["first_word"]) for r in rows}) == len(rows)
+    assert all(a in named and named[a] == named.get(b) for a, b in exact)
+    assert len({named[a] for a, _ in exact}) == 12 and not {d for d in range(4, crowd, 5)} & set(named)
+    assert {named.get(d) for d in range(crowd, len(texts))} == {(crowd, 0)} and sum(r["doc_id"] >= crowd for r in rows) == 60
+    assert all(r["jaccard"] >= 0.75 and r["n_words"] >= 50 and r["n_links"] >= 1 for r in rows)
+    found = {r["doc_id"] for r in near_passages(table(spark, texts)).collect()}
+    assert found == set(named)
+    assert repeated_stretches(table(spark, texts).limit(0)).count() == 0 and repeated_stretches(table(spark, texts[:1])).count() == 0
