@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..operators import snapshots
-from ..scratch import new_folder
+from ..scratch import new_folder, written
 from ..store.chunks import ChunkStore, kept_after_delete, upsert
 from .registry import Registry, table
 
@@ -111,9 +111,9 @@ def _index(spark: SparkSession, sf_dir: str) -> ChunkStore:
             F.lit(1).alias("line_start"), F.lit(1).alias("line_end"), F.lit(0).cast("long").alias("indexed_at"), null("array<string>").alias("symbols"), null("string").alias("symbol_kind"), null("boolean").alias("exported"), F.array(F.length("oid").cast("float")).alias("embedding"), F.lit(1).alias("dim"),
         )
 
-    diff = snapshots.snapshot_diff(base, target)
-    both = base.unionByName(target).select("path", "o_custkey").distinct().join(of, "o_custkey").select("path", F.lit("local").alias("repo_provider"), F.col("repo").alias("repo_name"))
-    gone = both.join(snapshots.paths_to_delete(diff), "path", "left_semi")
+    diff = written(snapshots.snapshot_diff(base, target))  # read for what goes and for what comes
+    # what goes was in the base
+    gone = base.join(snapshots.paths_to_delete(diff), "path", "left_semi").join(of, "o_custkey").select("path", F.lit("local").alias("repo_provider"), F.col("repo").alias("repo_name"))
     store.insert(chunks(base))
     store.transact(lambda _: {"gone": gone, "added": chunks(target.join(snapshots.paths_to_read(diff), "path", "left_semi"))})
     store.delete_repository("local", "KENYA")

@@ -82,32 +82,39 @@ class ChunkStore:
         dropped: (repo_provider, repo_name) all of whose chunks go first;
         metadata: rows to save, or with ``gone`` true to delete; observed: gets
         ``chunks``, the number of rows added, from the job that writes them.
-        ``added`` is run once, whatever it asks of models, and written to a draft.
+        ``added`` is run once, whatever it asks of models, and so is ``gone``,
+        whatever it compares: both are written to drafts, as are the slices they touch.
         """
         commit = uuid.uuid4().hex
         draft = f"{self.log.root}/drafts/{commit}"
         live = self.log.live(version).cache()
         try:
+            if gone is not None:
+                gone = self._drafted(gone.select(*REPOSITORY, "path"), f"{draft}/gone")
             if added is not None:
                 more = added.select(*_COLUMNS)
-                (more.observe(observed, F.count(F.lit(1)).alias("chunks")) if observed else more).write.parquet(draft)
-                added = self.spark.read.schema(STORED_CHUNK).parquet(draft)
-            return self._prepared(version, commit, live, gone, added, dropped, metadata)
+                more = more.observe(observed, F.count(F.lit(1)).alias("chunks")) if observed else more
+                added = self._drafted(more, f"{draft}/added", STORED_CHUNK)
+            parts = [_keyed(df).select("repo", "slice") for df in (gone, added) if df is not None]
+            touched = self._drafted((parts[0].union(parts[1]) if len(parts) > 1 else parts[0]).distinct(), f"{draft}/touched") if parts else None
+            return self._prepared(version, commit, live, touched, gone, added, dropped, metadata)
         finally:
             live.unpersist()
             self.log.files.drop(f"drafts/{commit}")
 
-    def _prepared(self, version: int, commit: str, live: DataFrame, gone: DataFrame | None, added: DataFrame | None, dropped: DataFrame | None, metadata: DataFrame | None) -> Prepared:
-        parts = [_keyed(df).select("repo", "slice") for df in (gone, added) if df is not None]
-        touched = parts[0].union(parts[1]) if len(parts) > 1 else parts[0] if parts else self.spark.createDataFrame([], "repo string, slice int")
-        old = live.join(touched.distinct(), ["repo", "slice"], "left_semi")
+    def _drafted(self, rows: DataFrame, path: str, schema: str | None = None) -> DataFrame:
+        rows.write.parquet(path)
+        return self.spark.read.schema(schema or rows.schema).parquet(path)
+
+    def _prepared(self, version: int, commit: str, live: DataFrame, touched: DataFrame | None, gone: DataFrame | None, added: DataFrame | None, dropped: DataFrame | None, metadata: DataFrame | None) -> Prepared:
+        old = live.join(touched if touched is not None else self.spark.createDataFrame([], "repo string, slice int"), ["repo", "slice"], "left_semi")
         if dropped is not None:
             whole = live.join(dropped.select(_repo()).distinct(), "repo", "left_semi")
             old, stale = old.join(whole, ["repo", "dim", "slice"], "left_anti"), old.union(whole.select(*old.columns)).distinct()
         else:
             stale = old
         removed = stale.select("repo", "dim", "slice", F.lit(None).cast("string").alias("commit"), F.lit(0).cast("long").alias("rows"))
-        if not parts:
+        if touched is None:
             return self.log.prepare(version, commit, removed, metadata)
         rows = self._rows(old)
         rows = kept_after_delete(rows, gone, [*REPOSITORY, "path"]) if gone is not None else rows

@@ -217,3 +217,19 @@ def test_texts_are_embedded_once(spark, root, tmp_path):
     store = ChunkStore(spark, root)
     store.insert(indexing.rows_for(trees(spark, ONE)[0], "local", "r", "x", Counting(str(tmp_path / "asked"))))
     assert len(os.listdir(tmp_path / "asked")) == len(ONE) and store.log.files.names("drafts") == {}
+
+
+def test_what_goes_is_found_once(spark, root):
+    refresh(spark, root, "r", "c1", None, ONE)
+    ran = spark.sparkContext.accumulator(0)
+
+    def counted(batches):
+        for batch in batches:
+            ran.add(batch.num_rows)
+            yield batch
+
+    gone = spark.createDataFrame([("local", "r", "a.txt"), ("local", "r", "b.txt")], "repo_provider string, repo_name string, path string").mapInArrow(counted, "repo_provider string, repo_name string, path string")
+    ChunkStore(spark, root).transact(lambda _: {"gone": gone})
+    assert ran.value == 2  # once for each of the two paths
+    assert seen(spark, root)[1] == {"c.txt": "gamma"}
+    assert not os.listdir(f"{root.removeprefix('file://')}/drafts")
