@@ -585,3 +585,39 @@ def test_groups_are_told_by_membership(spark):
     found = {r["doc_id"] for r in near_passages(table(spark, texts)).collect()}
     assert found == set(named)
     assert repeated_stretches(table(spark, texts).limit(0)).count() == 0 and repeated_stretches(table(spark, texts[:1])).count() == 0
+
+
+def test_covered_places_of_two_components_still_meet(spark):
+    """Places that verified passages cover meet all the same, unless their whole key is within one component."""
+    shared = spark.createDataFrame([(1, 3, 10, 100), (1, 3, 20, 100), (1, 3, 30, 100), (2, 2, 10, 120), (2, 2, 20, 120), (3, 2, 20, 61), (3, 2, 10, 100)], "key long, n long, cls long, at int")
+    told = spark.createDataFrame([(10, [(60, 200, 7)]), (20, [(60, 200, 7)]), (30, [(60, 200, 8)])], "cls long, told array<struct<begin:int,end:int,component:long>>")
+    left = {tuple(r) for r in passages._unsettled(shared, told, 46).select("key", "cls", "c").collect()}
+    assert left == {(1, 10, 7), (1, 20, 7), (1, 30, 8), (3, 20, None), (3, 10, 7)}
+    met = {(r["x"], r["p"]) for r in passages._few(passages._unsettled(shared, told, 46), 46).collect()}
+    assert met == {(10, 30), (20, 30)}
+
+
+def test_passages_share_a_place():
+    """Any two passages just above the threshold have a chosen place of one shingle, also where few words recur in another order."""
+    own = random.Random(17)
+    for size in (20, 10**6):
+        for _ in range(60):
+            base = [f"m{own.randrange(size)}" for _ in range(own.randint(60, 150))]
+            other = list(base)
+            while True:
+                k = own.randrange(len(other))
+                edit = other[:k] + [f"n{own.random()}" for _ in range(own.randint(0, 1))] + other[k + 1 :]
+                a, b = shingles(" ".join(base)), shingles(" ".join(edit))
+                if len(edit) < 50 or len(a & b) < 0.75 * len(a | b):
+                    break
+                other = edit
+            keys = []
+            for v in (base, other):
+                data = np.frombuffer(" ".join(["before"] * 3 + v + ["behind"] * 3).encode(), np.uint8)
+                code, at, _ = passages.chosen(tokens_of(data), 46)
+                keys.append(set(code[at].tolist()))
+            assert keys[0] & keys[1]
+
+
+def tokens_of(data):
+    return passages.Words(data, np.array([0, len(data)]))
