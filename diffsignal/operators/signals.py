@@ -48,14 +48,15 @@ def explode_raw(parsed: DataFrame, file_pos: str = "file_pos") -> DataFrame:
     return parsed.filter(F.col("raw").isNotNull()).select(F.col(file_pos).alias("file_pos"), F.posexplode("raw").alias("sig_pos", "s")).select("file_pos", "sig_pos", "s.*")
 
 
-def finalise(signals: DataFrame, threshold: float = 0.8, top: int | None = None, keys: list[str] | None = None) -> DataFrame:
+def finalise(signals: DataFrame, threshold: float = 0.8, top: int | None = None, keys: list[str] | None = None, ties: list[str] | None = None) -> DataFrame:
     """Confident signals, the first of each (file, line, message), ranked by severity, confidence and position, capped at ``top``.
 
     keys: what one review is (none: the whole table, whose rank then is one
-    ordered list).  total_before_cap counts what the cap saw.
+    ordered list).  ties: what orders signals of one position, which else are
+    taken as they come.  total_before_cap counts what the cap saw.
     """
     keys = keys or []
-    position = [F.col("file_pos"), F.col("sig_pos")]
+    position = [F.col("file_pos"), F.col("sig_pos"), *map(F.col, ties or [])]
     unique = first_of(signals.filter(F.col("confidence") >= threshold), [*keys, "file", "line_start", "message"], position)
     order = [severity_rank(F.col("severity")).desc(), F.col("confidence").desc(), *position]
     if keys:

@@ -20,17 +20,21 @@ _SEVERITY = "CASE severity WHEN 'high' THEN 3 WHEN 'medium' THEN 2 ELSE 1 END DE
 _UNIQUE = f"SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY review, file, line_start, message ORDER BY file_pos, sig_pos) AS k FROM ({_VALID}) WHERE confidence >= 0.8) WHERE k = 1"
 
 
+#: Several lines of one order may have one number; among those that tie the one that stands first in the table's files goes first.
+_TIES = ["place"]
+
+
 def _signals(spark: SparkSession, sf_dir: str) -> DataFrame:
     lines = table(spark, sf_dir, "lineitem")
-    lines.createOrReplaceTempView("__lineitem")
-    raw = spark.sql(_RAW.replace("FROM lineitem", "FROM __lineitem"))
+    lines.select("*", F.struct("_metadata.file_path", "_metadata.row_index").alias("__place")).createOrReplaceTempView("__lineitem")
+    raw = spark.sql(_RAW.replace("FROM lineitem", ", __place FROM __lineitem"))
     number = F.when(F.col("file_pos") % 9 == 0, "high").otherwise(F.col("score").cast("string"))
     line = F.when(F.col("file_pos") % 4 > 0, F.col("line").cast("string")).otherwise("unknown")
     message = F.when(F.col("file_pos") % 50 == 7, "").otherwise(F.col("message"))
     none = F.lit(None).cast("string")
-    raw = raw.select("review", "file_pos", "sig_pos", "type", "severity", number.alias("confidence"), "file", line.alias("lineStart"), none.alias("lineEnd"), message.alias("message"), none.alias("rationale"), none.alias("suggestedFix"))
-    good = signals.normalise(raw.withColumn("file_pos", F.struct("review", "file_pos")))
-    return good.withColumn("review", F.col("file_pos.review")).withColumn("file_pos", F.col("file_pos.file_pos"))
+    raw = raw.select(F.col("__place").alias("place"), "review", "file_pos", "sig_pos", "type", "severity", number.alias("confidence"), "file", line.alias("lineStart"), none.alias("lineEnd"), message.alias("message"), none.alias("rationale"), none.alias("suggestedFix"))
+    good = signals.normalise(raw.withColumn("file_pos", F.struct("review", "file_pos", "place")))
+    return good.withColumns({"review": F.col("file_pos.review"), "place": F.col("file_pos.place")}).withColumn("file_pos", F.col("file_pos.file_pos"))
 
 
 @query(f"SELECT review, file_pos, sig_pos, id, type, severity, round(confidence, 6) AS confidence, file, line_start, message FROM ({_VALID})")
@@ -45,7 +49,7 @@ def signals_threshold(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(f"SELECT review, file, line_start, message, file_pos, sig_pos FROM ({_UNIQUE})")
 def signals_dedupe(spark: SparkSession, sf_dir: str) -> DataFrame:
-    kept = ordered.first_of(_signals(spark, sf_dir).filter("confidence >= 0.8"), ["review", "file", "line_start", "message"], [F.col("file_pos"), F.col("sig_pos")])
+    kept = ordered.first_of(_signals(spark, sf_dir).filter("confidence >= 0.8"), ["review", "file", "line_start", "message"], [F.col("file_pos"), F.col("sig_pos"), *map(F.col, _TIES)])
     return kept.select("review", "file", "line_start", "message", "file_pos", "sig_pos")
 
 
@@ -53,13 +57,13 @@ def signals_dedupe(spark: SparkSession, sf_dir: str) -> DataFrame:
 SELECT review, rank, severity, round(confidence, 6) AS confidence, file, file_pos, sig_pos, total_before_cap FROM (SELECT *, row_number() OVER (PARTITION BY review ORDER BY {_SEVERITY}) AS rank, count(*) OVER (PARTITION BY review) AS total_before_cap FROM ({_UNIQUE})) WHERE rank <= 10
 """)
 def signals_top_n(spark: SparkSession, sf_dir: str) -> DataFrame:
-    top = signals.finalise(_signals(spark, sf_dir), 0.8, 10, ["review"])
+    top = signals.finalise(_signals(spark, sf_dir), 0.8, 10, ["review"], _TIES)
     return top.select("review", "rank", "severity", F.round("confidence", 6).alias("confidence"), "file", "file_pos", "sig_pos", "total_before_cap")
 
 
 @query(f"SELECT k AS rank, review, severity, file, file_pos, sig_pos, n AS total_before_cap FROM (SELECT *, row_number() OVER (ORDER BY {_SEVERITY}) AS k, count(*) OVER () AS n FROM (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY file, line_start, message ORDER BY file_pos, sig_pos) AS k0 FROM ({_VALID}) WHERE confidence >= 0.8) WHERE k0 = 1)) WHERE k <= 25")
 def signals_total_before_cap(spark: SparkSession, sf_dir: str) -> DataFrame:
-    top = signals.finalise(_signals(spark, sf_dir), 0.8, 25)
+    top = signals.finalise(_signals(spark, sf_dir), 0.8, 25, ties=_TIES)
     return top.select("rank", "review", "severity", "file", "file_pos", "sig_pos", "total_before_cap")
 
 
@@ -326,7 +330,7 @@ WITH t AS (SELECT *, row_number() OVER (PARTITION BY review ORDER BY {_SEVERITY}
 SELECT review, md5('<!-- diffsignal:review -->' || chr(10) || chr(10) || '## Review' || chr(10) || chr(10) || string_agg(part, chr(10) || '---' || chr(10) ORDER BY rank) || chr(10)) AS h FROM s GROUP BY review
 """)
 def comment_body(spark: SparkSession, sf_dir: str) -> DataFrame:
-    top = signals.finalise(_signals(spark, sf_dir), 0.8, 5, ["review"])
+    top = signals.finalise(_signals(spark, sf_dir), 0.8, 5, ["review"], _TIES)
     part = text.comment_section(F.col("severity"), F.col("file"), F.col("message"), F.col("rationale"), F.col("suggested_fix"))
     per = top.groupBy("review").agg(F.array_sort(F.collect_list(F.struct("rank", part.alias("part")))).alias("m"))
     return per.select("review", F.md5(text.comment_body(F.transform("m", lambda x: x["part"]))).alias("h"))

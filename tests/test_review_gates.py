@@ -1,5 +1,6 @@
 """What a review asks before it gathers context, and the windows of long texts."""
 
+import random
 import time
 
 from pyspark.sql import Row
@@ -7,7 +8,7 @@ from pyspark.sql import functions as F
 
 from diffsignal import models
 from diffsignal.operators import chunking
-from diffsignal.plans import indexing, reviewing
+from diffsignal.plans import catalog, indexing, reviewing
 from diffsignal.sources.diffs import parse_unified
 
 
@@ -58,3 +59,27 @@ def test_windows_of_texts_of_any_kind_and_length(spark):
         assert chunking.char_chunks(long, 1000, 200).agg(F.count("*"), F.sum(F.length("content"))).first()[0] == 1 + (n - 1000) // 800 + ((n - 1000) % 800 > 0)
         seconds.append(time.perf_counter() - began)
     assert seconds[1] < 25 * max(seconds[0], 0.5), "eight times the text must not take sixty-four times as long"
+
+
+def test_signals_that_tie_go_in_the_order_of_the_files(spark, tmp_path):
+    """Lines of one order and number are ranked as they stand in the table's files, however these are read."""
+    line = lambda part, order=4: (order, part, 7, 1, 3.0, 0.1, "R")
+    names = "l_orderkey long, l_partkey long, l_suppkey long, l_linenumber int, l_quantity double, l_discount double, l_returnflag string"
+    parts = [random.Random(5).sample(range(97), 40) for _ in range(2)]
+    folder = tmp_path / "lineitem.parquet"
+    for k, some in enumerate(parts):
+        spark.createDataFrame([line(p) for p in some], names).coalesce(1).write.parquet(str(tmp_path / f"w{k}"))
+        folder.mkdir(exist_ok=True)
+        next((tmp_path / f"w{k}").glob("*.parquet")).rename(folder / f"part-{k}.parquet")
+    # the same part in the second file is another line, message or not: the first of each file, line and message stays
+    want = [f"f{p}" for p in dict.fromkeys(parts[0] + parts[1])][:10]
+    with_sizes = {"spark.sql.files.maxPartitionBytes": "1k", "spark.sql.files.openCostInBytes": "1"}
+    before = {k: spark.conf.get(k) for k in with_sizes}
+    try:
+        for k, v in with_sizes.items():
+            spark.conf.set(k, v)
+        rows = catalog.QUERIES["signals_top_n"](spark, str(tmp_path)).orderBy("rank").collect()
+    finally:
+        for k, v in before.items():
+            spark.conf.set(k, v)
+    assert [r["file"] for r in rows] == want
