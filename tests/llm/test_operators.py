@@ -11,7 +11,7 @@ from conftest import SMALL
 from oracle import assert_same
 
 import public_tokenizers
-from diffsignal.llm import html_extraction, licenses, passages, queries, tokens
+from diffsignal.llm import html_extraction, licenses, passages, queries, store, tokens
 from diffsignal.llm.components import components
 from diffsignal.llm.decontamination import EQUAL, MASKS, WINDOW, leaks
 from diffsignal.llm.html_extraction import content_side, extract, main_text
@@ -621,3 +621,31 @@ def test_passages_share_a_place():
 
 def tokens_of(data):
     return passages.Words(data, np.array([0, len(data)]))
+
+
+def test_counts_taken_while_writing(spark):
+    """A table is written and counted by one job: what it may be broadcast by needs none of its own, also where it is empty."""
+    from pyspark.sql import functions as F
+
+    sc = spark.sparkContext
+    df = spark.range(1000, numPartitions=3).select("id", F.repeat(F.lit("x"), 10).alias("text"))
+
+    def jobs(f):
+        group = f"counted-{f.__name__}-{id(f)}"
+        sc.setJobGroup(group, group)
+        try:
+            out = f()
+        finally:
+            sc.setLocalProperty("spark.jobGroup.id", None)
+        return out, len(sc.statusTracker().getJobIdsForGroup(group))
+
+    (out, few), n = jobs(lambda: store.kept(df, "t", F.octet_length("text")))
+    assert few and n == 1 and out.count() == 1000
+    (_, few), _ = jobs(lambda: store.kept(df, "t", F.octet_length("text") * 10_000))
+    assert not few
+    for empty in (df.limit(0), df.filter("id < 0"), df.filter("id < 0").groupBy("text").count()):
+        out, few = store.kept(empty, "t")
+        assert few and out.count() == 0 and store.measured(empty, "t", F.count(F.lit(1)).alias("n"), F.sum(F.lit(1)).alias("s"))[1] == {"n": 0, "s": None}
+    edges = spark.createDataFrame([(i, i + 1) for i in range(40)], "a long, b long")
+    tree, n = jobs(lambda: components(edges, "a", "b"))
+    assert {r["component"] for r in tree.collect()} == {0} and n <= 45
