@@ -6,6 +6,7 @@ import re
 import zlib
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from conftest import SMALL
 from oracle import assert_same
@@ -646,3 +647,38 @@ def test_counts_taken_while_writing(spark):
     for empty in (df.limit(0), df.filter("id < 0"), df.filter("id < 0").groupBy("text").count()):
         out, few = store.kept(empty, "t")
         assert few and out.count() == 0 and store.measured(empty, "t", F.count(F.lit(1)).alias("n"), F.sum(F.lit(1)).alias("s"))[1] == {"n": 0, "s": None}
+
+
+def test_candidates_that_cannot_hold_a_passage_end_before_they_are_aligned(monkeypatch):
+    rng, t, percent = np.random.default_rng(5), 46, 75
+    pairs, looked = [], []
+    for n in range(200):
+        x = rng.integers(0, 1 << 32, 120, dtype=np.uint32)
+        p = rng.integers(0, 1 << 32, 120, dtype=np.uint32)
+        shared = int(rng.integers(0, 70))
+        p[20 : 20 + shared] = x[30 : 30 + shared]
+        pairs.append((x, p))
+    expected = [(i, *found[:4]) for i, (x, p) in enumerate(pairs) for found in passages.aligned(x, p, t, percent)]
+    assert 20 < len({row[0] for row in expected}) < 100
+    column = lambda k: [pair[k].astype("<u4").tobytes() for pair in pairs]
+    zero, number = [0] * len(pairs), list(range(len(pairs)))
+    batch = pa.RecordBatch.from_arrays([pa.array(v) for v in (number, zero, zero, zero, column(0), column(1))], names=["x", "p", "x_lo", "p_lo", "x_shingles", "p_shingles"])
+    align = passages.aligned
+    monkeypatch.setattr(passages, "aligned", lambda *args: looked.append(1) or align(*args))
+    got = [(r["x"], r["x_from"], r["x_to"], r["p_from"], r["p_to"]) for b in passages._verified(t, percent)(iter([batch])) for r in b.to_pylist()]
+    assert got == expected
+    assert len(looked) < 120  # all 200 were aligned before
+
+
+def test_places_are_sorted_once_for_all_components(monkeypatch):
+    rng, t = np.random.default_rng(6), 46
+    code = rng.integers(0, 400, 600)
+    told = [{"begin": a, "end": a + 90, "component": a} for a in (0, 150, 300, 450)]
+    often = np.unique(code, return_inverse=True)[1] % 3
+    held = [{"i": int(i), "often": int(often[i])} for i in np.flatnonzero(often)]
+    kinds = pa.list_(pa.struct([("i", pa.int32()), ("often", pa.int64())])), pa.list_(pa.struct([("begin", pa.int32()), ("end", pa.int32()), ("component", pa.int64())]))
+    batch = pa.RecordBatch.from_arrays([pa.array([1]), pa.array([0], pa.int32()), pa.array([code.tolist()]), pa.array([held], kinds[0]), pa.array([told], kinds[1])], names=["cls", "begin", "shingles", "held", "told"])
+    sorted_, order = [], passages._ordered
+    monkeypatch.setattr(passages, "_ordered", lambda *args: sorted_.append(1) or order(*args))
+    got = sorted((r["shingle"], r["at"], r["kinds"], r["c"] or 0) for b in passages._rare(t, 60)(iter([batch])) for r in b.to_pylist())
+    assert len(sorted_) == 1 and len({r[3] for r in got}) > 2  # one sort a component before
